@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylight.llm import ogg, packing, word_bpe
+from quarrylight.llm import ogg, packing, pii, quality_rules, word_bpe
 
 
 def tokenizer() -> str:
@@ -26,6 +27,17 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    judged = quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *(F.col(quality_rules.PREFIX + n).alias(n) for n in names))
+
+
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir), tokenizer())
 
@@ -34,5 +46,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_ogg_media, op6_word_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_ogg_media, op3_pii, op4_quality_rules, op6_word_bpe, op9_packing)}
 SQL: dict[str, str] = {}
