@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ogg, packing, pii, quality_rules, word_bpe
+from quarrylight.llm import ngram_join, ogg, packing, pii, quality_rules, word_bpe
 
 
 def tokenizer() -> str:
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir))
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_ogg_media, op3_pii, op4_quality_rules, op6_word_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op6_word_bpe, op9_packing)}
 SQL: dict[str, str] = {}
