@@ -80,9 +80,10 @@ def ask(block: int, keys: np.ndarray, values: np.ndarray | None, bits: int, exac
     )
 
 
-def counter(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], value_type: str | None = None, exact: bool = False) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's side: `answer(place, values, n)` gets, for all entries sent, the number of the distinct
-    key of each, the values and how many distinct keys there are, and returns an array with a figure for each entry."""
+def counter(answer: Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], value_type: str | None = None, exact: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's side: `answer(place, values, n, block)` gets, for all entries sent, the number of the
+    distinct key of each, the values, how many distinct keys there are and the block of each entry, and
+    returns an array with a figure for each entry."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table["block"].to_numpy())
@@ -92,7 +93,7 @@ def counter(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
         keys = np.concatenate(parts)
         values = np.frombuffer(b"".join(table["values"].to_pylist()), value_type) if value_type else np.zeros(0)
         distinct, place = np.unique(keys, return_inverse=True)
-        figures = answer(place, values, len(distinct))
+        figures = answer(place, values, len(distinct), np.repeat(table["block"].to_numpy(), sizes))
         cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         return pa.table(
             {
@@ -105,6 +106,25 @@ def counter(answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     return run
 
 
+def range_of(column: Column, edges: list) -> Column:
+    """How many of the ascending edges are at most the column's value, found in two steps."""
+    step = max(1, math.isqrt(len(edges)))
+    rows = [edges[i : i + step] for i in range(0, len(edges), step)]
+    heads = F.array(*[F.lit(r[0]) for r in rows[1:]]) if len(rows) > 1 else F.array().cast("array<bigint>")
+    row = F.size(F.filter(heads, lambda e: e <= column))
+    tails = F.array(*[F.array(*[F.lit(e) for e in r]) for r in rows])
+    return (row * F.lit(step) + F.size(F.filter(F.element_at(tails, row + 1), lambda e: e <= column))).cast("int")
+
+
+def id_edges(docs: DataFrame, blocks: int) -> list[int]:
+    """doc_ids that cut the rows into about equal numbers; as many as blocks, less one, at most."""
+    if blocks < 2:
+        return []
+    at = [i / blocks for i in range(1, blocks)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 100 * blocks)).first()[0]
+    return sorted(set(found or []))
+
+
 ANSWER = "block int, bucket int, figures binary"
 
 

@@ -75,7 +75,7 @@ def _asking(bits: int):
     return run
 
 
-def _frequency(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def _frequency(place: np.ndarray, values: np.ndarray, n: int, block: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(place, values, n), 255).astype(np.uint8)[place]
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ngram_join, ogg, packing, pii, quality_rules, word_bpe
+from quarrylight.llm import ngram_join, ogg, packing, pii, quality_rules, suffix_dedup, word_bpe
 
 
 def tokenizer() -> str:
@@ -42,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(quality_rules.PREFIX + n).alias(n) for n in names))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir))
+
+
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir), tokenizer())
 
@@ -50,5 +54,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op6_word_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_word_bpe, op9_packing)}
 SQL: dict[str, str] = {}
