@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ngram_join, ogg, packing, pii, quality_rules, suffix_dedup, word_bpe
+from quarrylight.llm import hmm, ngram_join, ogg, packing, pii, quality_rules, suffix_dedup, word_bpe
 
 
 def tokenizer() -> str:
@@ -50,9 +50,13 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir), tokenizer())
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_word_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_word_bpe, op7_hidden_markov, op9_packing)}
 SQL: dict[str, str] = {}
