@@ -278,6 +278,16 @@ def classes(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "key").join(final, "key").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """The documents with all their columns, one of each group of linked ones: that of smallest doc_id.
+
+    Rows of one doc_id that are its representative all stay, as do rows of null doc_id.
+    """
+    found = classes(docs, block_bytes)
+    dropped = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+
+
 def _sizes(batches):
     for batch in batches:
         key = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import hmm, ngram_join, ogg, packing, pii, quality_rules, suffix_dedup, word_bpe
+from quarrylight.llm import hmm, kneser_ney, ngram_join, ogg, packing, pii, quality_rules, suffix_dedup, token_counts, word_bpe
 
 
 def tokenizer() -> str:
@@ -54,9 +54,31 @@ def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir), token_counts.sample_edits(F.col("doc_id"), F.col("text")), tokenizer())
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_ogg_media, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_word_bpe, op7_hidden_markov, op9_packing)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_ogg_media,
+        op3_pii,
+        op4_quality_rules,
+        op5_suffix_dedup,
+        op6_word_bpe,
+        op7_hidden_markov,
+        op8_token_counts,
+        op9_packing,
+        op10_kneser_ney,
+    )
+}
 SQL: dict[str, str] = {}
