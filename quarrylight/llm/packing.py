@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.word_bpe import Encoder, vocabulary
+from quarrylight.llm.word_bpe import encoder
 
 SEQUENCE = 4096
 END_ID = 2
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = E
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(vocabulary(path))
+        coder = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

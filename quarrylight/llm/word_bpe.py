@@ -17,6 +17,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -28,12 +29,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._kernel import ranges
+from quarrylight.llm._kernel import pieces, ranges, runs, span_hash, words
 
 #: Most words that the lexicon holds, and so its proven size bound: a few MB.
 LEXICON_WORDS = 65_536
 #: Entries that a worker keeps of what it has encoded, and entries that a task counts before it hands them on.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
 COUNTED_WORDS = 400_000
 
 #: Rank of a pair that no merge joins; bytes of a word up to which words are merged many at a time.
@@ -41,7 +42,8 @@ _NEVER = np.iinfo(np.int32).max
 _SHORT = 48
 
 #: Separators of str.split() that the pattern doesn't take as white space.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_PLAIN_SPACE = dict.fromkeys([9, 10, 11, 12, 13], " ")
 
 
 def byte_symbols() -> list[str]:
@@ -84,22 +86,25 @@ class Vocabulary:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def chunks(self, text: str) -> Iterator[list[str] | int]:
-        """White-space chunks of each part between special tokens, and the ids of those."""
+    def parts(self, text: str) -> list[str | int]:
+        """The normalised parts of a text between special tokens, and the ids of those."""
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+        out: list[str | int] = []
         for part in parts:
             if part in self.special:
-                yield self.special[part]
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                part = part.lower()
-                if _ODD_SPACE.search(part):
-                    yield self.pattern.findall(part)
-                else:
-                    yield part.split()
+                out.append(self.special[part])
+            elif part.isascii():
+                out.append(part.lower())
+            else:
+                out.append(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+        return out
 
     def words(self, chunk: str) -> list[str]:
+        """The pre-tokens of a run without ASCII white space; most runs are letters and perhaps a mark."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
     def merge(self, word: str) -> list[int]:
@@ -306,18 +311,18 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         vocab, chunks = vocabulary(path), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
+            counts: Counter = Counter()
             for chunk, n in chunks.items():
-                for word in vocab.words(chunk):
-                    words[word] += n
+                for word in vocab.words(chunk) if chunk else ():
+                    counts[word] += n
             chunks.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for part in vocab.chunks(text or ""):
+                for part in vocab.parts(text or ""):
                     if not isinstance(part, int):
-                        chunks.update(part)
+                        chunks.update(part.translate(_PLAIN_SPACE).split(" ") if _ODD_SPACE.search(part) else part.split())
                 if len(chunks) > COUNTED_WORDS:
                     yield from flush()
         yield from flush()
@@ -338,9 +343,10 @@ def encode(docs: DataFrame, path: str, finish: Callable, schema: str, lexicon: b
     This is the general form: `digests` (below) and others give their own `finish`.
     """
     block = docs.sparkSession.sparkContext.broadcast(lexicon) if lexicon is not None else None
+    name = hashlib.sha256(lexicon).hexdigest() if lexicon is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(vocabulary(path), Lexicon(block.value) if block else None)
+        coder = encoder(path, name, block)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -354,10 +360,8 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None):
         self.vocab, self.lexicon = vocab, lexicon
-        self.seen: dict[str, bytes] = {}
-        self.said: dict[str, tuple[str, str]] = {}
-        self.numbers = [f" {i}" for i in range(len(vocab.tokens))]
-        self.names = [" " + t for t in vocab.tokens]
+        self.numbers = [str(i) for i in range(len(vocab.tokens))]
+        self.forget()
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and where each begins."""
@@ -394,44 +398,79 @@ class Encoder:
             flat[np.repeat(at[group], n) + column] = ids[np.repeat(np.arange(len(group)), n), column]
         return flat, at
 
-    def learn(self, parts: list[list[list[str] | int]], spoken: bool) -> None:
-        """Makes sure that every chunk of these texts has been seen."""
-        known = self.said if spoken else self.seen
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*(p for text in parts for p in text if not isinstance(p, int))).difference(known))
-        if not new:
-            return
-        split = [self.vocab.words(c) for c in new]
-        flat, at = self.words([w for words in split for w in words])
-        edge = at[np.cumsum([0, *map(len, split)])].tolist()
-        if spoken:
-            ids, number, name = flat.tolist(), self.numbers.__getitem__, self.names.__getitem__
-            for chunk, a, b in zip(new, edge, edge[1:]):
-                known[chunk] = "".join(map(number, ids[a:b])), "".join(map(name, ids[a:b]))
-        else:
-            raw = flat.tobytes()
-            for chunk, a, b in zip(new, edge, edge[1:]):
-                known[chunk] = raw[4 * a : 4 * b]
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Remembers the ids of chunks that haven't been seen, by the hashes of their bytes (ascending)."""
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        split = [self.vocab.words(c) for c in chunks]
+        number: dict[str, int] = {}
+        order = np.array([number.setdefault(w, len(number)) for words in split for w in words], np.int64)
+        flat, at = self.words(list(number))
+        size = np.diff(at)[order]
+        edge = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, split)])]
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.first = np.insert(self.first, where, edge[:-1] + len(self.pool))
+        self.count = np.insert(self.count, where, np.diff(edge))
+        self.pool = np.concatenate([self.pool, flat[ranges(at[:-1][order], size)]])
+
+    def forget(self) -> None:
+        self.keys, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """All ids of each text."""
-        parts = [list(self.vocab.chunks(t or "")) for t in texts]
-        self.learn(parts, False)
-        get = self.seen.__getitem__
-        return [np.frombuffer(b"".join([np.uint32(p).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in text]), "<u4") for text in parts]
+        parts = [self.vocab.parts(t or "") for t in texts]
+        plain = [p for text in parts for p in text if not isinstance(p, int)]
+        raw = [p.encode() for p in plain]
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, raw)), dtype=np.int64)])
+        joined = b"".join(raw)
+        coded: list[np.ndarray] = []
+        for first, end, data, edge in pieces(np.frombuffer(joined, np.uint8), offsets):
+            begin = int(offsets[first])
+            starts, ends, rows = words(data, edge)
+            keys, one, place = np.unique(span_hash(runs(data), starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            if not known.all():
+                if len(self.keys) > CACHE_WORDS:
+                    self.forget()
+                    known[:] = False
+                new = np.flatnonzero(~known)
+                a, b = (starts[one[new]] + begin).tolist(), (ends[one[new]] + begin).tolist()
+                self.learn(keys[new], [joined[i:j].decode() for i, j in zip(a, b)])
+                at = np.searchsorted(self.keys, keys)
+            count = self.count[at][place]
+            ids = self.pool[ranges(self.first[at][place], count)]
+            total = np.concatenate([[0], np.cumsum(count)])
+            cut = total[np.searchsorted(rows, np.arange(end - first + 1))].tolist()
+            coded += [ids[i:j] for i, j in zip(cut, cut[1:])]
+        if len(coded) == len(parts) == len(plain) and all(len(p) == 1 for p in parts):
+            return coded
+        rest = iter(coded)
+        return [np.concatenate([np.zeros(0, "<u4"), *(np.array([p], "<u4") if isinstance(p, int) else next(rest) for p in text)]) for text in parts]
 
     def write(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """The ids of each text as decimal numbers, and what they decode to: the tokens joined by spaces."""
-        parts = [list(self.vocab.chunks(t or "")) for t in texts]
-        self.learn(parts, True)
+        number, name = self.numbers.__getitem__, self.vocab.tokens.__getitem__
         out = []
-        for text in parts:
-            said = [pair for p in text for pair in ([(self.numbers[p], self.names[p])] if isinstance(p, int) else map(self.said.__getitem__, p))]
-            out.append(("".join([a for a, _ in said])[1:], "".join([b for _, b in said])[1:]))
+        for ids in self.encode(texts):
+            listed = ids.tolist()
+            out.append((" ".join(map(number, listed)), " ".join(map(name, listed))))
         return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, name: str | None = None, block=None) -> Encoder:
+    """The worker's encoder for a tokenizer and a broadcast lexicon; later tasks find what earlier ones have learned."""
+    key = (path, name)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary(path), Lexicon(block.value) if block else None)
+    return _encoders[key]
+
+
 def digests(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
