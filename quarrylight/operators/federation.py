@@ -31,7 +31,7 @@ def partial_status(events: DataFrame, asked: DataFrame) -> DataFrame:
 def slot(key: Column, start: int = 0xFFFF) -> Column:
     """CRC-16 (polynomial 0x1021, most significant bit first) of a key's bytes, below 16384."""
     raw = F.hex(F.encode(key, "UTF-8"))
-    values = F.transform(F.sequence(F.lit(0), F.length(raw) / 2 - 1).cast("array<int>"), lambda i: F.conv(F.substring(raw, i * 2 + 1, 2), 16, 10).cast("int"))
+    values = F.transform(F.sequence(F.lit(0), F.greatest((F.length(raw) / 2).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(raw, i * 2 + 1, 2), 16, 10).cast("int"))
 
     def byte(crc: Column, b: Column) -> Column:
         bits = F.sequence(F.lit(1), F.lit(8))

@@ -17,10 +17,14 @@ def folded(text: Column) -> Column:
 
 def grams(text: Column, ignore_case: bool = False) -> Column:
     """Distinct runs of three bytes in hex, in order of appearance; none for less than three bytes."""
-    raw = F.hex(F.encode(folded(text) if ignore_case else text, "UTF-8"))
-    n = F.length(raw) / 2 - 2
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), lambda i: F.substring(raw, i * 2 + 1, 6))
-    return F.when(n >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    raw = F.encode(folded(text) if ignore_case else text, "UTF-8")
+
+    def cut(b: Column) -> Column:
+        # a lambda's variable is computed once; substring of bytes doesn't walk from the start
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 2, F.lit(1))), lambda i: F.hex(F.substring(b, i, F.lit(3))))
+
+    each = F.flatten(F.transform(F.array(raw), cut))
+    return F.when(F.octet_length(text) >= 3, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def postings(docs: DataFrame, ignore_case: bool = False) -> DataFrame:

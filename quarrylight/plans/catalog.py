@@ -149,7 +149,7 @@ def bootstrap_apply(spark, sf_dir):
 
 @query(
     f"""WITH {REC}, l AS (SELECT object_id, arrival, coalesce(epoch < lag(epoch) OVER w, false) AS epoch_fell,
- coalesce(row(generation, physical_ms, logical) <= row(lag(generation) OVER w, lag(physical_ms) OVER w, lag(logical) OVER w), false) AS version_fell,
+ coalesce(lag(arrival) OVER w IS NOT NULL AND row(generation, physical_ms, logical) <= row(lag(generation) OVER w, lag(physical_ms) OVER w, lag(logical) OVER w), false) AS version_fell,
  coalesce((lag(flags) OVER w & 1) = 1 AND (flags & 1) = 0, false) AS resurrected FROM rec WINDOW w AS (PARTITION BY object_id ORDER BY arrival)) SELECT * FROM l WHERE epoch_fell OR version_fell OR resurrected"""
 )
 def feed_violations(spark, sf_dir):
@@ -374,10 +374,10 @@ _FEATURES = f"""WITH {_SAMPLES}, e AS (SELECT node_id, metric, max(physical_ms)
  b AS (SELECT node_id, metric, count(*) AS bursts FROM i JOIN g USING (node_id, metric) WHERE value > mean + 2 * sqrt(variance) GROUP BY 1, 2)"""
 
 
-@query(f"{_FEATURES} SELECT node_id, metric, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(variance, 4) AS variance, mn AS min, mx AS max, round(error_rate, 6) AS error_rate, CAST(coalesce(bursts, 0) AS BIGINT) AS bursts FROM g LEFT JOIN b USING (node_id, metric)")
+@query(f"{_FEATURES} SELECT node_id, metric, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(variance, 2) AS variance, mn AS min, mx AS max, round(error_rate, 6) AS error_rate, CAST(coalesce(bursts, 0) AS BIGINT) AS bursts FROM g LEFT JOIN b USING (node_id, metric)")
 def window_features(spark, sf_dir):
     rows = telemetry.window_features(telemetry.samples(table(spark, sf_dir, "events")), _WINDOW)
-    return rows.select("node_id", "metric", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), "min", "max", F.round("error_rate", 6).alias("error_rate"), "bursts")
+    return rows.select("node_id", "metric", "n", F.round("mean", 6).alias("mean"), F.round("variance", 2).alias("variance"), "min", "max", F.round("error_rate", 6).alias("error_rate"), "bursts")
 
 
 @query(f"WITH {_SAMPLES}, o AS (SELECT node_id, metric, value, row_number() OVER p AS i, count(*) OVER (PARTITION BY node_id, metric) AS n FROM s WINDOW p AS (PARTITION BY node_id, metric ORDER BY arrival)) SELECT node_id, metric, round(sum(value * CASE WHEN i = 1 THEN pow(0.8, n - 1) ELSE 0.2 * pow(0.8, n - i) END), 5) AS ewma FROM o GROUP BY 1, 2")
@@ -629,13 +629,13 @@ def clean_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.context(F.col("text"), F.lit(50), 20, 40).alias("context"))
 
 
-@query("SELECT p_partkey, p_partkey < 100 AS is_stale FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 5 <= 2 AND (p_partkey % 8 & -6) = 0 AND contains(lower(p_name || ' ' || p_type), 'part') AND p_partkey % 10 <> 9")
+@query("SELECT p_partkey, p_partkey < 100 AS is_stale FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 5 <= 2 AND (p_partkey % 8 & -6) = 0 AND contains(lower(p_name || ' ' || p_type), 'e') AND p_partkey % 10 <> 9")
 def authorised_search(spark, sf_dir):
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", (k % 4).alias("tenant_id"), (k % 5).alias("classification"), (k % 8).alias("sci"), k.alias("generation"), (k % 10 == 9).alias("tombstone"), text.searchable(F.col("p_name"), F.col("p_type")).alias("searchable_text")
     )
-    return text.authorised(rows, "PART", allowed(Caller(2, 1, 5), shared_tenant=False), 100).select("p_partkey", "is_stale")
+    return text.authorised(rows, "E", allowed(Caller(2, 1, 5), shared_tenant=False), 100).select("p_partkey", "is_stale")
 
 
 @query("SELECT doc_id, sha256(text) = sha256(text || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END) AS is_verified FROM documents")
