@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight import model
-from quarrylight.operators import federation, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
+from quarrylight.operators import classify, federation, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
 from quarrylight.security import Caller, allowed, glob, holds, valid_scope_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,6 +645,14 @@ def payload_verify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.sha2(t, 384) == expected).alias("is_verified"))
 
 
+@query()
+def text_classify(spark, sf_dir):
+    """Languages told by a model trained on a bounded sample of the same documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = classify.classified(classify.train(docs, "text", "lang"), F.col("text"))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.label", F.round("found.probability", 4).alias("probability"))
+
+
 # ---- workflow
 
 _WORK = "w AS (SELECT o_orderkey AS committed_seq, o_orderkey // 2 AS record_id, o_custkey % 50 AS owner_id, 1 + o_custkey % 3 AS workflow_type, o_custkey % 4 AS tenant_id, o_orderkey % 5 AS classification, o_orderkey % 8 AS sci, CAST(4 AS BIGINT) AS flags, epoch_ms(o_orderdate) AS due_at, o_orderkey % 20 = 0 AS tombstone FROM orders)"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import model
-from quarrylight.operators import identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
+from quarrylight.operators import classify, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
 from quarrylight.security import Caller, allowed, glob, valid_scope
 from quarrylight.streaming import identity_stream, telemetry_stream
 
@@ -185,3 +185,12 @@ def test_streams_agree_with_batches(spark, tmp_path):
     records = records.unionByName(records.where("event_id % 10 = 3").withColumn("arrival", F.col("arrival") + 1000))
     batch = {r["arrival"]: r["status"] for r in identity.ingest_status(records, "tenant_id").collect()}
     assert batch == {r["arrival"]: r["status"] for r in run_stream(spark, records, identity_stream.ingest, tmp_path, "ingest").collect()}
+
+
+def test_classifier_learns_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model_ = classify.train(docs.where("doc_id % 4 <> 0"), "text", "lang")
+    held = docs.where("doc_id % 4 = 0").select("lang", classify.classified(model_, F.col("text")).alias("found"))
+    assert held.agg(F.avg((F.col("found.label") == F.col("lang")).cast("double"))).first()[0] > 0.9
+    odd = spark.createDataFrame([(None,), ("",)], "t string").select(classify.classified(model_, F.col("t")).alias("f"))
+    assert [r["f"]["label"] for r in odd.collect()] == ["UNKNOWN"] * 2
