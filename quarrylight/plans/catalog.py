@@ -619,9 +619,10 @@ def grep_counts(spark, sf_dir):
     return text.grep_counts(table(spark, sf_dir, "documents"), PATTERN)
 
 
-@query("WITH f AS (SELECT page_id, regexp_extract_all(html, '(?i)(http[A-Za-z0-9./:_?-]*)', 1) AS u FROM pages), e AS (SELECT page_id, unnest(u) AS url, generate_subscripts(u, 1) - 1 AS place FROM f) SELECT page_id, CAST(place AS BIGINT) AS place, lower(url) AS url FROM e WHERE length(url) BETWEEN 9 AND 254")
+@query("WITH f AS (SELECT page_id, regexp_extract_all(url || ' ' || html, '(?i)(http[A-Za-z0-9./:_?-]*)', 1) AS u FROM pages), e AS (SELECT page_id, unnest(u) AS url, generate_subscripts(u, 1) - 1 AS place FROM f) SELECT page_id, CAST(place AS BIGINT) AS place, lower(url) AS url FROM e WHERE length(url) BETWEEN 9 AND 254")
 def url_extract(spark, sf_dir):
-    return text.urls(table(spark, sf_dir, "pages"), "html", "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("both"))
+    return text.urls(pages, "both", "page_id")
 
 
 @query("SELECT doc_id, regexp_replace(array_slice(string_split(substr(text, greatest(50 - 20, 1), 50 - greatest(50 - 20, 1)), chr(10)), -1, -1)[1] || string_split(substr(text, 50, 40), chr(10))[1], '[^\\x20-\\x7e]', ' ', 'g') AS context FROM documents")
