@@ -13,6 +13,13 @@ SLOTS = 16384
 PACK_EVENTS, PACK_ANOMALIES, PACK_INCIDENTS, PACK_NEIGHBORS, PACK_CITATIONS = 32, 8, 8, 16, 64
 
 
+def registered(heartbeats: DataFrame) -> DataFrame:
+    """The last heartbeat of each node: its site, health, generation, latency."""
+    others = [c for c in heartbeats.columns if c != "node_id"]
+    last = heartbeats.groupBy("node_id").agg(F.max_by(F.struct(*others), "heartbeat_ms").alias("last"))
+    return last.select("node_id", *(F.col(f"last.{c}").alias(c) for c in others))
+
+
 def merged_timeline(events: DataFrame) -> DataFrame:
     """Each event once, the copy with the earliest clock (then the smallest node): combined before the shuffle."""
     others = [c for c in events.columns if c != "event_id"]

@@ -51,6 +51,14 @@ def score(weights: tuple[float, float, float, float]) -> Column:
     return sum((w * x for w, x in parts), F.lit(0.0)) / (total if total > 0 else 1.0)
 
 
+def domain_of(resource: int, nodes: DataFrame, hosts: DataFrame) -> int | None:
+    """The failure domain of a node, or of the first host (src, dst, seq) that a resource runs on; None if neither is known."""
+    own = nodes.where(F.col("node_id") == resource).select(F.lit(-1).cast("long").alias("seq"), "domain_id")
+    host = hosts.where(F.col("src") == resource).join(nodes, F.col("dst") == F.col("node_id")).select(F.col("seq").cast("long"), "domain_id")
+    found = own.unionByName(host).agg(F.min_by("domain_id", "seq")).first()
+    return found[0]
+
+
 def evaluated(nodes: DataFrame, q: Placement) -> DataFrame:
     """All nodes with constraints, whether all hold, and a score (0 where not)."""
     rows = nodes.withColumn("constraints", F.array(*constraints(q)))

@@ -90,3 +90,9 @@ def most_active(timeline: DataFrame, low_ms: int, high_ms: int) -> DataFrame:
     return by.agg(F.sum("events").alias("total_events"), F.min_by(F.struct("object_id", "events"), F.struct(-F.col("events"), "reached", "object_id")).alias("top")).select(
         "total_events", F.col("top.object_id").alias("object_id"), F.col("top.events").alias("events")
     )
+
+
+def activity_report(timeline: DataFrame, low_ms: int, high_ms: int) -> DataFrame:
+    """One line of text about a window: how many events, and which object had most."""
+    top = most_active(timeline, low_ms, high_ms)
+    return top.select(F.format_string(f"{high_ms - low_ms} ms: %d events, most by %d (%d)", "total_events", "object_id", "events").alias("report"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.identity import latest
@@ -18,6 +18,16 @@ SCHEMA = (
 )
 
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of JSON lines as a batch: the whole log from its start, as a rebuild takes it."""
+    return spark.read.schema(SCHEMA).json(folder)
+
+
+def stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """The same as a stream; the query's checkpoint is its cursor, and it moves when a batch has been written."""
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).json(folder)
+
+
 def valid() -> Column:
     """A tenant, a generation, no negative numbers, flags of seven bits."""
     c = F.col

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import model
-from quarrylight.operators import classify, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
+from quarrylight.operators import classify, federation, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
 from quarrylight.security import Caller, allowed, glob, valid_scope
 from quarrylight.streaming import identity_stream, telemetry_stream
 
@@ -105,6 +105,31 @@ def test_placement(spark):
     assert [r["node_id"] for r in planner.plan(nodes, planner.Placement(2, 0, 2, 32768, avoid_domain=101), 10).collect()] == [3]
 
 
+def test_domains_of_hosted_resources_and_registered_nodes(spark):
+    nodes = spark.createDataFrame([(1, 101), (2, 102)], "node_id long, domain_id long")
+    hosts = spark.createDataFrame([(50, 2, 3), (50, 1, 9)], "src long, dst long, seq long")
+    assert [planner.domain_of(r, nodes, hosts) for r in (1, 50, 77)] == [101, 102, None]
+    beats = spark.createDataFrame([(1, 10, "ok"), (1, 20, "down"), (2, 5, "ok")], "node_id long, heartbeat_ms long, health string")
+    assert {r["node_id"]: r["health"] for r in federation.registered(beats).collect()} == {1: "down", 2: "ok"}
+
+
+def test_reports(spark):
+    t = spark.createDataFrame([(5, 0, 1, 7, 0, 1), (6, 0, 1, 7, 0, 2), (6, 1, 1, 8, 0, 3)], TIMES)
+    assert timeline.activity_report(t, 0, 10).first()[0] == "10 ms: 3 events, most by 7 (2)"
+
+
+def test_telemetry_thresholds_and_windows(spark):
+    limits = spark.createDataFrame([("cpu", 85.0, 95.0, 3.0, False), ("errors", 1.0, 3.0, 3.0, True), ("latency", 0.0, 0.0, 3.0, False)], "metric string, warning double, critical double, z_limit double, is_fatal boolean")
+    rows = [(1, "cpu", ms, 40.0 + (ms // 1000) % 3) for ms in range(1000, 11000, 1000)] + [(1, "cpu", 11000, 88.0), (1, "cpu", 12000, 97.0), (1, "errors", 13000, 4.0)]
+    rows += [(1, "latency", ms, 1000.0 + (ms // 1000 % 5) * 4) for ms in range(1000, 21000, 1000)] + [(1, "latency", 21000, 1500.0)]
+    s = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "node_id long, metric string, physical_ms long, value double, arrival long")
+    got = {(r["metric"], r["physical_ms"]): r["severity"] for r in telemetry.classified(telemetry.baselines(s), limits).collect()}
+    assert got == {("cpu", 11000): "WARNING", ("cpu", 12000): "CRITICAL", ("errors", 13000): "FATAL", ("latency", 21000): "CRITICAL"}
+    ramp = spark.createDataFrame([(1, "t", 1000 * i, 10.0 + i, i) for i in range(60)], s.schema)
+    f = telemetry.window_features(ramp, telemetry.WINDOWS_MS["1m"]).first()
+    assert (f["n"], f["min"], f["max"], f["mean"], round(f["slope"], 9)) == (60, 10.0, 69.0, 39.5, 1.0)
+
+
 def test_trigrams_and_search(spark):
     docs = spark.createDataFrame([(0, "The quick brown fox jumps over the lazy dog"), (1, "An interpolation search engine for sorted int64"), (2, "Trigram index accelerates regex search across text files"), (3, "High-performance SIMD search and data ingestion"), (4, "ab"), (5, None)], "doc_id long, text string")
     sizes = spark.createDataFrame([("hello world",), ("aaaaa",), ("ab",), ("é",)], "t string").select(F.size(text.grams(F.col("t"))))
