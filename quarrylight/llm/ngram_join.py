@@ -285,7 +285,7 @@ def representatives(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFr
     """
     found = classes(docs, block_bytes)
     dropped = found.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
 
 
 def _sizes(batches):

@@ -204,7 +204,9 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str,
     wanted = _bounded(terms)
     if wanted is not None:
         return docs, wanted
-    key = F.xxhash64("text")
+    key, name = F.xxhash64("text"), "pii_key"
+    while name in docs.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +215,8 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str,
 
     texts = docs.select("text", key.alias("pii_key")).mapInArrow(run, "pii_key long, term string").distinct()
     own = texts.join(terms, "term").groupBy("pii_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("pii_terms"))
-    return docs.withColumn("pii_key", key).join(own, "pii_key", "left").drop("pii_key"), None
+    own = own.withColumnRenamed("pii_key", name)
+    return docs.withColumn(name, key).join(own, name, "left").drop(name), None
 
 
 def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:

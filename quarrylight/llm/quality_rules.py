@@ -8,8 +8,8 @@ becomes one ordered CASE WHEN that Spark evaluates; the first rule that holds de
 Results: null and empty texts have no words and fail the base rule; documents without labels, or
 tables without enough labels, are judged by the base rule and by what rules there are; null labels
 and null doc_ids in the labels are not learned from; several labels of a document count several
-times; columns of the input that are named like a statistic win and the statistic replaces none,
-since all statistics carry a prefix.
+times. Input columns whose names begin like those of the statistics (stat_) are left out of the
+results of `statistics` and `judge`, and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """All columns of the documents, and the counts of their texts as stat_... columns."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if not c.startswith(PREFIX)])
     names = docs.columns
     at = names.index("text")
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
@@ -263,4 +264,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that the rules keep, with the columns that they came with."""
-    return judge(docs, rules).where(F.col(PREFIX + "kept")).select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select("text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return judge(whole, rules).where(F.col(PREFIX + "kept")).select("row.*")
