@@ -37,6 +37,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bytes of sets that one task compares; a component above this is split into parts of half of it.
 TASK_BYTES = 1 << 20
+#: Bytes of text in a block, of which a worker holds all shingles.
+BLOCK_BYTES = 4 << 20
 
 _MADE = "kind int, bucket int, node long, n int, data binary, more binary, sizes binary"
 
@@ -249,7 +251,7 @@ def _tasks(sets: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     n_blocks = B.count_blocks(docs, block_bytes)
@@ -260,9 +262,9 @@ def classes(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     reps_side = reps.select(F.col("key").alias("rep_key"), F.col("rep").alias("rep_doc"))
     rep_rows = B.dealt(reps_side, n_blocks, F.struct(F.col("rep_doc").alias("doc_id"), F.col("rep_key").alias("key"))).select("block", "rep_key", "rep_doc", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("figures"))
     side = dealt.groupBy("block")
-    asked = side.cogroup(rep_rows.groupBy("block")).applyInArrow(_asking(bits), B.ASK)
+    asked = side.cogroup(rep_rows.groupBy("block")).applyInArrow(B.tidy(_asking(bits)), B.ASK)
     answered = B.answers(asked, B.counter(_frequency, "u1")).select("block", F.lit(None).cast("long").alias("rep_key"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep_doc"), "bucket", "figures")
-    made = checkpointed(side.cogroup(rep_rows.unionByName(answered).groupBy("block")).applyInArrow(_prefixes(bits), _MADE))
+    made = checkpointed(side.cogroup(rep_rows.unionByName(answered).groupBy("block")).applyInArrow(B.tidy(_prefixes(bits)), _MADE))
 
     candidates = components(made.where("kind = 0").select("bucket", "data", "more", "sizes").groupBy("bucket").applyInArrow(_chains, "a long, b long"))
     tasks = _tasks(made.where("kind = 1").select("node", "data"), candidates)
@@ -278,7 +280,7 @@ def classes(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "key").join(final, "key").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def representatives(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with all their columns, one of each group of linked ones: that of smallest doc_id.
 
     Rows of one doc_id that are its representative all stay, as do rows of null doc_id.

@@ -40,7 +40,7 @@ from quarrylight.llm._kernel import mix, ranges, runs, span_hash, text_column
 LENGTH = 50
 NAME = 20
 WINDOW = LENGTH - NAME + 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 UNIQUE, ALIKE, MIXED = 0, 1, 2
 
 _U = np.uint64
@@ -245,7 +245,7 @@ def _run(docs: DataFrame, digest: bool, block_bytes: int) -> DataFrame:
         return B.answers(asked, run).select(F.col("block").alias("aside_block"), F.lit(_ROUND[stage]).alias("stage"), F.lit(None).cast("long").alias("rep_key"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep_doc"), "bucket", "figures")
 
     def with_side(aside: DataFrame, run, schema: str) -> DataFrame:
-        return side.cogroup(aside.groupBy("aside_block")).applyInArrow(run, schema)
+        return side.cogroup(aside.groupBy("aside_block")).applyInArrow(B.tidy(run), schema)
 
     names = answered(with_side(rep_rows, _asks_names(bits), B.ASK), "names", B.counter(_tells_kinds, "<u4"))
     first = rep_rows.unionByName(names)

@@ -34,7 +34,7 @@ from quarrylight.llm._kernel import pieces, ranges, runs, span_hash, words
 #: Most words that the lexicon holds, and so its proven size bound: a few MB.
 LEXICON_WORDS = 65_536
 #: Entries that a worker keeps of what it has encoded, and entries that a task counts before it hands them on.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 COUNTED_WORDS = 400_000
 
 #: Rank of a pair that no merge joins; bytes of a word up to which words are merged many at a time.
