@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: still sends rows of some size.
 BLOCK_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 16
+#: Ranges of ids that are cut at listed edges; a larger number of ranges has equal widths.
+MOST_EDGES = 10_000
 
 ASK = "block int, bucket int, n int, keys binary, values binary"
 
@@ -145,6 +147,26 @@ def tidy(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tupl
     return tidied
 
 
+def id_ranges(docs: DataFrame, blocks: int) -> Callable[[Column], Column]:
+    """A function from doc_ids to blocks that rise with them; null goes where 0 goes.
+
+    Up to MOST_EDGES blocks hold about equal numbers of rows. More of them are equal ranges of ids,
+    which need no list of edges, and are as even as the ids are dense.
+    """
+    if blocks > MOST_EDGES:
+        low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+        if low is not None:
+            width = max(1, math.ceil((high - low + 1) / blocks))
+
+            def block(column: Column) -> Column:
+                above = F.greatest(F.coalesce(column.cast("long"), F.lit(low)) - low, F.lit(0))
+                return ((above - F.pmod(above, F.lit(width))) / width).cast("int")
+
+            return block
+    edges = id_edges(docs, blocks) if blocks <= MOST_EDGES else []
+    return lambda column: range_of(F.coalesce(column.cast("long"), F.lit(0).cast("long")), edges) if edges else F.lit(0)
+
+
 ANSWER = "block int, bucket int, figures binary"
 
 

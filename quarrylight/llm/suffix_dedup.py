@@ -231,11 +231,7 @@ def _run(docs: DataFrame, digest: bool, block_bytes: int) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), carried)
     n_blocks = B.count_blocks(docs, block_bytes)
     bits = B.bucket_bits(n_blocks)
-    edges = B.id_edges(docs, n_blocks)
-
-    def block(column):
-        return B.range_of(F.coalesce(column.cast("long"), F.lit(0).cast("long")), edges) if edges else F.lit(0)
-
+    block = B.id_ranges(docs, n_blocks)
     reps = keyed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")).select(F.col("key").alias("rep_key"), F.col("rep").alias("rep_doc"))
     told = [F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("figures")]
     side = keyed.withColumn("block", block(F.col("doc_id"))).groupBy("block")

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import hmm, kneser_ney, ngram_join, ogg, packing, pii, quality_rules, queries, suffix_dedup, token_counts, word_bpe
+from quarrylight.llm import blocks, hmm, kneser_ney, ngram_join, ogg, packing, pii, quality_rules, queries, suffix_dedup, token_counts, word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, block int, label string, stage string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,6 +140,11 @@ def test_repeated_strings(docs, rows, block_bytes):
     assert sorted(map(tuple, suffix_dedup.digests(docs, block_bytes).collect()), key=str) == brute_removed(rows)
 
 
+def test_repeated_strings_with_equal_ranges_of_ids(docs, rows, monkeypatch):
+    monkeypatch.setattr(blocks, "MOST_EDGES", 1)
+    assert sorted(map(tuple, suffix_dedup.digests(docs, 20_000).collect()), key=str) == brute_removed(rows)
+
+
 def test_repeated_strings_of_one_id_and_of_none(spark):
     a, b = "abcdefghij" * 6 + "!", "zz" + "abcdefghij" * 6
     rows = [(5, a), (5, b), (5, a), (None, a), (8, b), (2, "short"), (3, "short"), (9, None)]
@@ -311,6 +316,18 @@ def test_statistics(docs, rows):
         assert tuple(got[d]["stat_" + n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
+def test_clashing_columns_are_kept(spark, monkeypatch):
+    names = ["stat_n_words", "stat_kept", "dropped_id", "pii_key", "carried", "row", "key", "block"]
+    text = "one two three four five six mail me@mail.example.com " * 2
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{i} " * 60, *range(8)) for i in range(6)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for out in (quality_rules.keep(docs, []), ngram_join.representatives(docs), suffix_dedup.deduplicate(docs), pii.sanitise(docs)):
+        assert out.columns == docs.columns
+        assert all([r[n] for n in names] == list(range(8)) for r in out.collect())
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert pii.sanitise(docs, spark.createDataFrame([("two", 0.6)], "term string, share double")).columns == docs.columns
+    assert {r["doc_id"] for r in ngram_join.representatives(docs).collect()} == {0, 3, 4, 5}
+
+
 def test_learned_rules_find_what_they_were_shown(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["tree", "house", "river", "stone", "cloud"]) + str(rng.randint(0, 999)) + (" #%" if i % 3 == 0 else "") for _ in range(80))) for i in range(600)]
