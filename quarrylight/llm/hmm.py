@@ -33,9 +33,7 @@ from quarrylight.llm._kernel import LOWER, mix, pieces, runs, span_hash, text_co
 
 STATES = 8
 ITERATIONS = 2
-#: A word has its own emissions from this share of the training tokens (and so many occurrences) on, rounded
-#: up to a power of two: there are half a million of them at most, however large the corpus.
-FREQUENT_SHARE = 2e-6
+#: Occurrences from which a word has its own emissions, at every size of the corpus.
 FREQUENT_COUNT = 50
 UNIGRAM_SHARE = 0.01
 #: Tokens of a piece: training takes pieces as sequences, scoring multiplies them.
@@ -43,10 +41,10 @@ PIECE = 256
 BLOCK_BYTES = 16 << 20
 END = np.uint64(0x5CA1AB1E0DDBA115)
 
-_CLASSES = 64  # 0: unseen, else one more than the logarithm of the count to base 2
+_POWERS = 1 << np.arange(6)
+_CLASSES = len(_POWERS) + 2  # 0: unseen, else one more than the logarithm of the count to base 2; the last: frequent
 _ASK = "block int, bucket int, n int, keys binary, counts binary, masses binary, totals binary"
 _TOLD = "block int, bucket int, n int, counts binary, masses binary, totals binary"
-_POWERS = 1 << np.arange(_CLASSES - 1, dtype=np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,8 +90,8 @@ class Tokens:
 
 
 def class_of(counts: np.ndarray) -> np.ndarray:
-    """Frequency classes: 0 unseen, 1 for one occurrence, 2 for two or three, ..."""
-    return np.searchsorted(_POWERS, counts, "right")
+    """Frequency classes: 0 unseen, 1 for one occurrence, 2 for two or three, ..., the last for frequent words."""
+    return np.where(counts >= FREQUENT_COUNT, _CLASSES - 1, np.searchsorted(_POWERS, counts, "right"))
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -173,8 +171,7 @@ class Told:
         self.vocabulary, self.class_sum = int(sizes[0, 1:].sum()), sizes[1]
         self.tokens = int(totals[0][2 * _CLASSES])
         self.group = class_of(self.counts)
-        least = max(FREQUENT_COUNT, FREQUENT_SHARE * self.tokens)
-        self.frequent = self.group > int(np.ceil(np.log2(least)))
+        self.frequent = self.group == _CLASSES - 1
         if last:
             then = self._round(aside, last)
             self.masses = np.frombuffer(b"".join(then["masses"].to_pylist()), "<f4").reshape(-1, STATES).astype(float)

@@ -381,6 +381,17 @@ def test_hidden_markov_training_raises_the_likelihood_of_held_out_text(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_hidden_markov_words_have_own_emissions_from_a_fixed_count():
+    import numpy as np
+    import pyarrow as pa
+
+    counts = np.array([1, 49, 50, 63, 6000])
+    for tokens in (10**4, 10**8, 10**10):
+        totals = np.append(np.ones(2 * hmm._CLASSES), tokens).tobytes()
+        aside = pa.table({"round": [0], "bucket": [0], "n": [len(counts)], "counts": [hmm.pack_counts(counts)], "totals": [totals]})
+        assert hmm.Told(aside, 0).frequent.tolist() == [False, False, True, True, True]
+
+
 def test_token_counts_after_edits(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(queries.tokenizer())
