@@ -126,21 +126,20 @@ def _send(block: int, keys: np.ndarray, counts: np.ndarray | None, masses: np.nd
     )
 
 
-def _add_up(table: pa.Table) -> pa.Table:
+def _add_up(table: pa.Table, counting: bool) -> pa.Table:
     """A bucket: sums by word, answered to each block; sums of totals; in round 0 also sizes of the classes."""
     table = table.take(pa.array(np.argsort(table["block"].to_numpy())))  # so that sums are the same every time
     sizes = table["n"].to_numpy()
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
     distinct, place = np.unique(keys, return_inverse=True)
-    counting = any(table["counts"].to_pylist())
     counts = unpack_counts(table["counts"].to_pylist(), sizes.tolist()) if counting else np.zeros(0)
     masses = np.frombuffer(b"".join(table["masses"].to_pylist()), "<f4").reshape(-1, STATES)
     cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     totals = [np.frombuffer(t, "<f8") for t in table["totals"].to_pylist() if t]
     answer = np.sum(totals, axis=0) if totals else np.zeros(0)
     told_counts = told_masses = None
-    if counting or not len(masses):
-        total = np.bincount(place, counts, len(distinct)).astype(np.int64) if counting else np.zeros(0, np.int64)
+    if counting:
+        total = np.bincount(place, counts, len(distinct)).astype(np.int64)
         group = class_of(total)
         size = np.stack([np.bincount(group, minlength=_CLASSES), np.bincount(group, total + 1, _CLASSES)])
         told_counts, answer = total[place], np.concatenate([size.ravel(), answer])
@@ -350,7 +349,7 @@ def score(docs: DataFrame, iterations: int = ITERATIONS, block_bytes: int = BLOC
     side = B.dealt(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), n_blocks, F.struct("doc_id", F.octet_length("text"))).groupBy("block")
 
     def told(asked: DataFrame, number: int) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(_add_up, _TOLD).select(F.col("block").alias("aside_block"), F.lit(number).alias("round"), "bucket", "n", "counts", "masses", "totals")
+        return asked.groupBy("bucket").applyInArrow(lambda table: _add_up(table, number == 0), _TOLD).select(F.col("block").alias("aside_block"), F.lit(number).alias("round"), "bucket", "n", "counts", "masses", "totals")
 
     def with_side(aside: DataFrame, run, schema: str) -> DataFrame:
         return side.cogroup(aside.groupBy("aside_block")).applyInArrow(B.tidy(run), schema)

@@ -392,6 +392,19 @@ def test_hidden_markov_words_have_own_emissions_from_a_fixed_count():
         assert hmm.Told(aside, 0).frequent.tolist() == [False, False, True, True, True]
 
 
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_hidden_markov_without_frequent_words(spark, n):
+    got = hmm.score(frame(spark, [(i, f"one two w{i}") for i in range(n)])).collect()
+    assert len(got) == n and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_hidden_markov_where_the_first_bucket_has_no_frequent_word(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(120)]  # the end token alone is frequent
+    whole = table(hmm.score(frame(spark, rows)))
+    for d, r in table(hmm.score(frame(spark, rows), block_bytes=2000)).items():
+        assert math.isfinite(r["score"]) and math.isclose(r["base_score"], whole[d]["base_score"], rel_tol=1e-9)
+
+
 def test_token_counts_after_edits(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(queries.tokenizer())
