@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) are found by patterns. Around each stand the
 context; over the corpus these tell, for each term and each protected value, how much seeing the
 term reveals the value: P(value | term) and the information log2 P(value | term) / P(value). Terms
 over the disclosure thresholds become spans too, wherever they stand: the strongest are removed,
-the others generalised. A context that is repeated, as in copies of a text, counts once.
+the others generalised. Texts are told apart by hash, and copies of a text count once; information
+is also taken with copies counted as often as they occur, and the larger of the two decides.
 
 Results: null and empty texts have no spans and the digest of an empty list; repeated rows give a
 row each; a null doc_id stays null; an empty table gives an empty one; only doc_id and text are
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm._kernel import sums_by_row, text_column
 from quarrylight.llm._shared import checkpointed
+from quarrylight.llm.blocks import released
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words of context on each side of a span; contexts that must show a term beside a value; least share
+#: Words of context on each side of a span; different texts that must show a term beside a value; least share
 #: and information at which a term discloses it; share from which it is removed, not generalised.
 CONTEXT_WORDS = 8
 MIN_CONTEXTS = 3
@@ -36,6 +38,8 @@ MIN_BITS = 6.0
 REMOVE_SHARE = 0.9
 #: Terms up to which the list is broadcast (some MB); a longer one is joined.
 BROADCAST_TERMS = 200_000
+#: Rows that a Python worker unpacks at once.
+ROWS_AT_ONCE = 1000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -101,15 +105,28 @@ def term_of(word: str) -> str | None:
     return word if _TERM.match(word) else None
 
 
-def terms_of(text: str) -> set[str]:
-    """All terms of a text."""
-    return {t for t in map(term_of, set(text.split())) if t}
+def terms_of(text: str, base: list[tuple[int, int, int]] | None = None) -> set[str]:
+    """All terms of a text, or all that stand outside of its base spans."""
+    if not base:
+        return {t for t in map(term_of, set(_WORD.findall(text))) if t}
+    return {t for m in _outside(_WORD.finditer(text), base) if (t := term_of(m[0]))}
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, list[str]]]:
-    """(value, context, distinct terms of the context) of each span; other spans are no context."""
+def _outside(found: Iterator[re.Match], base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The matches, in order, that overlap no base span."""
+    starts = [a for a, _, _ in base]
+    reach = np.maximum.accumulate([b for _, _, b in base]).tolist()
+    for m in found:
+        i = bisect_left(starts, m.end())  # the base spans that begin before the word ends
+        if not i or reach[i - 1] <= m.start():
+            yield m
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[str, str | None]]:
+    """The different (value, term of its context) of a text, and (value, None); other spans are no context."""
+    out: set[tuple[str, str | None]] = set()
     if not spans:
-        return
+        return out
     found = [m for m in _WORD.finditer(text)]
     starts = [m.start() for m in found]
     private = np.zeros(len(found), bool)
@@ -120,9 +137,18 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str
         where.append((max(i, 0), j))
     for (a, kind, b), (i, j) in zip(spans, where):
         near = [k for k in [*range(max(0, i - CONTEXT_WORDS), i), *range(j, min(len(found), j + CONTEXT_WORDS))] if not private[k]]
-        terms = sorted({t for k in near if (t := term_of(found[k][0]))})
-        if terms:
-            yield value_of(kind, text[a:b]), " ".join(found[k][0] for k in near), terms
+        value = value_of(kind, text[a:b])
+        out.add((value, None))
+        out.update((value, t) for k in near if (t := term_of(found[k][0])))
+    return out
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches; memory is released after each batch that came in."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+        released()
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[str, int]]:
@@ -132,35 +158,40 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[str, int]]:
 
 
 def associations(docs: DataFrame) -> DataFrame:
-    """value, term, n_both: in how many different contexts of a value a term stands; n_value, n_term: contexts of each."""
+    """value, term, text, copies: the hashes of the texts that show a term beside a value (null: the value at all), and their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(value, term, context) for text, digits in _texts(batch, 0) for value, context, terms in contexts(text, base_spans(text, digits)) for term in terms]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["value", "term", "context"])
+        for batch in _portions(batches):
+            rows = [(value, term, h) for (text, digits), h in zip(_texts(batch, 0), batch.column(1).to_pylist()) for value, term in contexts(text, base_spans(text, digits))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["value", "term", "hash"])
 
-    seen = docs.select("text").mapInArrow(run, "value string, term string, context string").select("value", "term", F.xxhash64("context").alias("context")).distinct()
-    pairs = seen.groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    terms = pairs.groupBy("term").agg(F.sum("n_both").alias("n_term"))
-    strong = pairs.where(F.col("n_both") >= MIN_CONTEXTS)
-    return strong.join(terms, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_term"))
+    seen = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(run, "value string, term string, hash long")
+    return seen.groupBy("value", "term", "hash").agg(F.count("*").alias("copies"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, share: terms that reveal a protected value, with the largest share of one value.
 
-    The share is of all texts that have the term, so each candidate's document frequency is
-    counted over the whole corpus; candidates are few, since they stand in several contexts of
-    one value and mostly there.
+    The share is of all different texts that have the term, so each candidate's texts are counted
+    over the whole corpus; candidates are few, since they stand in several texts beside one value
+    and, of the texts that have them beside any, mostly there.
     """
-    found = checkpointed(associations(docs).select("term", "n_both", "n_term"))
-    n_texts = docs.count()
-    candidates = found.groupBy("term").agg(F.max("n_both").alias("n_both"), F.max("n_term").alias("n_term"))
-    words = docs.select("text").mapInArrow(_counter(_bounded(candidates)), "term string, n_texts long")
-    counts = words.groupBy("term").agg(F.sum("n_texts").alias("n_texts"))
-    share = F.col("n_both") / F.greatest("n_term", "n_texts")
-    bits = F.log2(share * F.lit(max(n_texts, 1)) / F.col("n_both"))
-    return candidates.join(counts, "term").select("term", share.alias("share"), bits.alias("bits")).where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).select("term", "share")
+    seen = checkpointed(associations(docs))
+    beside = seen.where("term is not null")
+    values = seen.where("term is null").groupBy("value").agg(F.count("*").alias("n_value"), F.sum("copies").alias("value_rows"))
+    pairs = beside.groupBy("value", "term").agg(F.count("*").alias("n_both"), F.sum("copies").alias("both_rows")).where(F.col("n_both") >= MIN_CONTEXTS)
+    near = beside.select("term", "hash").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    found = checkpointed(pairs.join(near, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_near")).join(values, "value"))
+    texts = docs.groupBy(F.xxhash64("text")).agg(F.count("*").alias("copies")).agg(F.count("*"), F.sum("copies")).first()
+    n_texts, n_rows = max(texts[0], 1), max(texts[1] or 0, 1)
+    candidates = found.groupBy("term").agg(F.max("n_near").alias("n_near"))
+    words = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(_having(_bounded(candidates)), "term string, hash long").join(candidates.select("term"), "term", "left_semi")
+    counts = words.groupBy("term", "hash").agg(F.count("*").alias("copies")).groupBy("term").agg(F.count("*").alias("n_term"), F.sum("copies").alias("term_rows"))
+    share = F.col("n_both") / F.col("n_term")
+    by_text = F.log2(share * F.lit(n_texts) / F.col("n_value"))
+    by_row = F.log2(F.col("both_rows") / F.col("term_rows") * F.lit(n_rows) / F.col("value_rows"))
+    told = found.join(counts, "term").select("term", share.alias("share"), F.greatest(by_text, by_row).alias("bits"))
+    return told.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def _bounded(terms: DataFrame) -> dict[str, float] | None:
@@ -170,24 +201,24 @@ def _bounded(terms: DataFrame) -> dict[str, float] | None:
     return dict(map(tuple, rows)) if len(rows) <= BROADCAST_TERMS else None
 
 
-def _counter(wanted: dict[str, float] | None):
-    """Counts the texts that have each wanted term (each term at all, if the list isn't broadcast)."""
+def _having(wanted: dict[str, float] | None):
+    """term, hash: the wanted terms of each text (all terms, if the list isn't broadcast)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
+        for batch in _portions(batches):
+            rows = []
             if wanted is None or wanted:
-                for text in batch.column(0).to_pylist():
-                    terms = terms_of(text or "")
-                    counts.update(terms if wanted is None else [t for t in terms if t in wanted])
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n_texts"])
+                for (text, digits), h in zip(_texts(batch, 0), batch.column(1).to_pylist()):
+                    if wanted is None or any(t in wanted for t in terms_of(text)):
+                        rows += [(t, h) for t in terms_of(text, base_spans(text, digits)) if wanted is None or t in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "hash"])
 
     return run
 
 
 def term_spans(text: str, wanted: dict[str, float]) -> list[tuple[int, int, int]]:
     """Spans of the words that are disclosing terms."""
-    if not wanted or not any(term_of(w) in wanted for w in set(text.split())):
+    if not wanted or not any(term_of(w) in wanted for w in set(_WORD.findall(text))):
         return []
     return [(m.start(), 4, m.end()) for m in _WORD.finditer(text) if term_of(m[0]) in wanted]
 
@@ -209,7 +240,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, dict[str,
         name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             rows = [(h, t) for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in terms_of(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["pii_key", "term"])
 
@@ -227,11 +258,11 @@ def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             own = batch.column(2).to_pylist() if wanted is None else [wanted] * batch.num_rows
             counts, digest, spans = [], [], []
             for (text, digits), w in zip(_texts(batch, 1), own):
-                base, every = all_spans(text, digits, dict(w or {}))
+                base, every = all_spans(text, digits, w if isinstance(w, dict) else dict(w or []))
                 counts.append([sum(s[1] == k for s in every) for k in range(5)])
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 spans.append(listed(every))
@@ -262,10 +293,10 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             own = batch.column(batch.num_columns - 1).to_pylist() if wanted is None else [wanted] * batch.num_rows
             null = batch.column(at).is_null().to_pylist()
-            texts = [None if n else cleaned(t, d, dict(w or {})) for (t, d), n, w in zip(_texts(batch, at), null, own)]
+            texts = [None if n else cleaned(t, d, w if isinstance(w, dict) else dict(w or [])) for (t, d), n, w in zip(_texts(batch, at), null, own)]
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)

@@ -297,6 +297,17 @@ def test_pii_and_disclosing_terms(spark, docs, rows):
     assert clean[100]["text"] == told[len(fillers)][1]
 
 
+def test_disclosing_terms_count_different_texts(spark):
+    other = [(5000 + i, f"plain text number {i} of many") for i in range(1200)]
+    told = [(i, f"{f} zebulon {f} wrote boss@corp.example.org") for i, f in enumerate(["alpha", "beta", "gamma", "delta"])]
+    copied = told + [(100 + i, told[0][1]) for i in range(1000)]
+    assert "zebulon" in {r["term"] for r in pii.disclosing_terms(frame(spark, copied + other)).collect()}
+    signed = [(i, f"letter {i} " + "x " * 9 + "kind regards from your friend Zebulon boss@corp.example.org") for i in range(12)]
+    assert "zebulon" in {r["term"] for r in pii.disclosing_terms(frame(spark, signed + other)).collect()}
+    common = [(i, f"text{i} zebulon {i} wrote boss@corp.example.org") for i in range(1200)]  # the value itself is no news
+    assert not pii.disclosing_terms(frame(spark, common + other)).count()
+
+
 def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
     told = [(i, f"w{'abcdefgh'[i]}xyz zebulon writes to boss@corp.example.org") for i in range(8)] + [(50 + i, f"plain words number{i}") for i in range(1500)] + [(9990, "Zebulon left"), (10000, None)]
     want = sorted(map(tuple, pii.find(frame(spark, told)).collect()), key=str)
