@@ -47,7 +47,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TERM = re.compile(r"[^\W\d_]{4,40}\Z")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-"
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -100,9 +99,8 @@ def value_of(kind: int, text: str) -> str:
 
 
 def term_of(word: str) -> str | None:
-    """The term that a word stands for: its letters in lower case, without marks at its ends."""
-    word = word.strip(_EDGE).lower()
-    return word if _TERM.match(word) else None
+    """The term that a word stands for: the word in lower case, without marks at its ends."""
+    return word.strip(_EDGE).lower() or None
 
 
 def terms_of(text: str, base: list[tuple[int, int, int]] | None = None) -> set[str]:

@@ -308,6 +308,16 @@ def test_disclosing_terms_count_different_texts(spark):
     assert not pii.disclosing_terms(frame(spark, common + other)).count()
 
 
+def test_every_word_can_be_a_disclosing_term(spark):
+    names = ["Ann", "李雷", "O'Brien", "Jean-Luc", "user_42", "x7", "n" * 50]
+    other = [(5000 + i, f"plain text number{i} of many") for i in range(1200)]
+    told = [(10 * n + i, f"{f} {name}, {f} wrote mail{n}@corp.example.org") for n, name in enumerate(names) for i, f in enumerate(["alpha", "beta", "gamma"])]
+    docs = frame(spark, told + other + [(9990, "yesterday (ANN) left")])
+    assert {r["term"] for r in pii.disclosing_terms(docs).collect()} >= {name.lower() for name in names}
+    clean = table(pii.sanitise(docs))
+    assert "ANN" not in clean[9990]["text"] and not any(name in clean[10 * n]["text"] for n, name in enumerate(names))
+
+
 def test_terms_beyond_the_broadcast_bound(spark, monkeypatch):
     told = [(i, f"w{'abcdefgh'[i]}xyz zebulon writes to boss@corp.example.org") for i in range(8)] + [(50 + i, f"plain words number{i}") for i in range(1500)] + [(9990, "Zebulon left"), (10000, None)]
     want = sorted(map(tuple, pii.find(frame(spark, told)).collect()), key=str)
