@@ -95,13 +95,14 @@ def lsh_keys(vectors: DataFrame, column: str, planes: list[list[list[float]]], p
 
 
 def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, planes: list[list[list[float]]], probes: int = 4) -> DataFrame:
-    """As `nearest` with cosine, over the vectors that share a bucket with the query; a query without any is searched exactly."""
+    """As `nearest` with cosine, over the vectors that share a bucket with the query; a query with fewer than k of them is searched exactly."""
     index = lsh_keys(vectors.select("vec_id", normalised(F.col("embedding")).alias("v")), "v", planes)
     probe = lsh_keys(queries.select("query_id", normalised(F.col("query")).alias("query")), "query", planes, probes)
     pairs = index.join(probe, ["table", "key"]).dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", (1.0 - dot(F.col("v"), F.col("query"))).alias("distance"))
     over = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     found = pairs.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
-    return found.unionByName(nearest(vectors, queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), k))
+    full = found.where(F.col("rank") == k).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(nearest(vectors, queries.join(full, "query_id", "left_anti"), k))
 
 
 def scoped(vectors: DataFrame, query: list[float], k: int, predicate: Column, watermark: int, required: int) -> DataFrame:

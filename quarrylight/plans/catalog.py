@@ -511,8 +511,8 @@ def knn_exact(spark, sf_dir):
 
 @query()
 def lsh_nearest(spark, sf_dir):
-    planes = vectors.hyperplanes(64, tables=12, bits=8)
-    return vectors.lsh_nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5, planes).select("query_id", "vec_id", "distance", "rank")
+    planes = vectors.hyperplanes(64, tables=24, bits=8)
+    return vectors.lsh_nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5, planes, probes=8).select("query_id", "vec_id", "distance", "rank")
 
 
 _ONE = "o AS (SELECT x AS y FROM u WHERE vec_id = 3)"

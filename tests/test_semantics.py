@@ -169,6 +169,16 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_registered_lsh_recall_and_few_candidates(spark):
+    from quarrylight.plans import catalog
+
+    exact, near = ({(r["query_id"], r["vec_id"]) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} for name in ("knn_exact", "lsh_nearest"))
+    assert len(exact & near) >= 0.9 * len(exact)
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.1]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = table.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    assert vectors.lsh_nearest(table, q, 3, vectors.hyperplanes(2, 1, 8), probes=0).count() == 3
+
+
 def test_workflow_pages(spark):
     rows = [(i, i, 1, 2, 7, 0, 0, 0, due, False) for i, due in enumerate([500, 200, 800, 500, 100], 1)] + [(6, 6, 1, 3, 7, 0, 0, 0, 500, False), (7, 7, 2, 2, 7, 0, 0, 0, 50, False)]
     events = spark.createDataFrame(rows, "committed_seq long, record_id long, owner_id long, workflow_type long, tenant_id long, classification long, sci long, flags long, due_at long, tombstone boolean")
