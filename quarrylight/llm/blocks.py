@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block. Buckets are as many as blocks, up to the limit at which each block
-#: still sends rows of some size.
+#: Bytes of text in a block. Buckets are as many as blocks, so a bucket's work stays of one size too.
 BLOCK_BYTES = 8 << 20
-MOST_BUCKETS = 1 << 16
+#: Small tables have as many blocks as the session has partitions, but none of less than this.
+LEAST_BYTES = 1 << 20
 #: Ranges of ids that are cut at listed edges; a larger number of ranges has equal widths.
 MOST_EDGES = 10_000
 
@@ -35,7 +35,8 @@ ASK = "block int, bucket int, n int, keys binary, values binary"
 def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks the texts need."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(total / block_bytes))
+    spread = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / LEAST_BYTES))
+    return max(1, math.ceil(total / block_bytes), spread)
 
 
 def dealt(docs: DataFrame, blocks: int, by: Column) -> DataFrame:
@@ -45,7 +46,40 @@ def dealt(docs: DataFrame, blocks: int, by: Column) -> DataFrame:
 
 def bucket_bits(blocks: int) -> int:
     """Buckets are a power of two, so that the first bits of a key name its bucket."""
-    return min(MOST_BUCKETS, 1 << max(0, blocks - 1).bit_length()).bit_length() - 1
+    return max(0, blocks - 1).bit_length()
+
+
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def cuts(bucket: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """The buckets that ascending entries have, and where each one's begin and end."""
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[heads].tolist(), list(zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]))
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """Unsigned values as planes of their bytes, lowest first, without the empty ones at the top: these shrink well in a shuffle."""
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    used = np.flatnonzero(raw.any(0))
+    return raw[:, : used[-1] + 1].T.tobytes() if len(used) else b""
+
+
+def unpack_planes(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if packed:
+        planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_rising(keys: np.ndarray) -> bytes:
+    return pack_planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_rising(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack_planes(packed, n), dtype=np.uint64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -69,17 +103,15 @@ def ask(block: int, keys: np.ndarray, values: np.ndarray | None, bits: int, exac
 
     Of each key 32 bits go beside those that name the bucket (all 64 with `exact`).
     """
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cut = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
-    full = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
+    full, spans = cuts(bucket_of(keys, bits))
     low = keys if exact else (keys >> np.uint64(32 - bits)).astype(np.uint32)
     return pa.table(
         {
             "block": pa.array([block] * len(full), pa.int32()),
             "bucket": pa.array(full, pa.int32()),
-            "n": pa.array([cut[i + 1] - cut[i] for i in full], pa.int32()),
-            "keys": pa.array([low[cut[i] : cut[i + 1]].tobytes() if exact else pack_keys(low[cut[i] : cut[i + 1]]) for i in full], pa.binary()),
-            "values": pa.array([b"" if values is None else values[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
+            "n": pa.array([b - a for a, b in spans], pa.int32()),
+            "keys": pa.array([low[a:b].tobytes() if exact else pack_keys(low[a:b]) for a, b in spans], pa.binary()),
+            "values": pa.array([b"" if values is None else values[a:b].tobytes() for a, b in spans], pa.binary()),
         }
     )
 
