@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.llm import blocks as B
 from quarrylight.llm._kernel import CHUNK_BYTES, mix, pieces, text_column
@@ -79,7 +80,7 @@ def event_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.
             continue
         for a in range(0, len(part) + 1, CHUNK_BYTES):
             before = part[max(0, a - ORDER + 1) : a]
-            run = np.concatenate([np.full(ORDER - 1 - len(before), EDGE, np.uint8), before, part[a : a + CHUNK_BYTES], np.full(a + CHUNK_BYTES > len(part), EDGE, np.uint8)]).astype(_U)
+            run = np.concatenate([np.full(ORDER - 1 - len(before), EDGE, np.uint8), before, part[a : a + CHUNK_BYTES], np.full(int(a + CHUNK_BYTES > len(part)), EDGE, np.uint8)]).astype(_U)
             grams = run[ORDER - 1 :].copy()
             for i in range(1, ORDER):
                 grams |= run[ORDER - 1 - i : -i] << _U(8 * i)
@@ -316,16 +317,18 @@ def perplexities(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BY
     often = every.where("kind = 1").groupBy("level").agg(*(F.sum(c).alias(c) for c in _ONCE_TO_FOUR))
     often = often.agg(F.collect_list(F.struct("level", *_ONCE_TO_FOUR)).alias("often")).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("aside_block"), "often")
     told = known.unionByName(beside(answered.withColumnRenamed("block", "aside_block"), _ANSWERS)).unionByName(beside(often, _OFTEN))
-    return side.cogroup(told.groupBy("aside_block")).applyInArrow(_empty_or(B.tidy(_scoring(bits)), fields), f"doc_id {fields['doc_id']}, lang {fields['lang']}, n_symbols long, perplexity double, trusted boolean")
+    return side.cogroup(told.groupBy("aside_block")).applyInArrow(_empty_or(B.tidy(_scoring(bits)), docs), f"doc_id {fields['doc_id']}, lang {fields['lang']}, n_symbols long, perplexity double, trusted boolean")
 
 
-def _empty_or(run, fields: dict[str, str]):
-    """A block of labels without documents has no rows."""
+def _empty_or(run, docs: DataFrame):
+    """A block without documents has no rows."""
+    own = [(c, to_arrow_type(docs.schema[c].dataType)) for c in ("doc_id", "lang")]
+    schema = pa.schema([*own, ("n_symbols", pa.int64()), ("perplexity", pa.float64()), ("trusted", pa.bool_())])
 
     def guarded(key: tuple, docs: pa.Table, aside: pa.Table) -> pa.Table:
         if docs.num_rows:
             return run(key, docs, aside)
-        return pa.table({c: pa.array([], t) for c, t in {"doc_id": pa.null(), "lang": pa.null(), "n_symbols": pa.int64(), "perplexity": pa.float64(), "trusted": pa.bool_()}.items()})
+        return schema.empty_table()
 
     return guarded
 
