@@ -3,14 +3,19 @@
 1. Texts are dealt to blocks; of equal texts one, the representative, goes on.
 2. Blocks ask for the document frequency of their shingles (see `blocks`). Rarest first is the
    global order. A pair of similarity 0.8 must share a shingle of both sets' prefixes (the first
-   n - ceil(0.8 n) + 1); shingles of frequency 1 are shared by nobody, so most sets drop out.
-3. Sets that share a prefix shingle and have fitting sizes are chained; the components of these
-   chains hold all candidate pairs.
-4. In a component the sets stand in a trie. Each set is put through it: partial overlaps are shared
-   by all sets below a node, and a subtree is left when the overlap and what remains of either
-   side can't reach the bound. Sets that are connected already aren't compared again. Large
-   components are split into parts; each pair of parts is a task.
-5. The links' components, and the smallest doc_id in each, are the result.
+   n - ceil(0.8 n) + 1); shingles of frequency 1 are shared by nobody, so most sets drop out, and
+   of the others only the shingles of higher frequency travel.
+3. Sets that share a prefix shingle and have fitting sizes are chained, within the block first; a
+   block sends the ends of its chains. The components of all chains hold all candidate pairs.
+4. The sets of a component stand in a trie by the global order. A set enters it at the nodes that
+   hold a shingle of its prefix and goes down from there: the overlap with an edge is counted once
+   for all sets below, and a subtree is left when the overlap and what remains of either side can't
+   reach the bound, or when all below is known to be connected with the set.
+5. A component larger than a task is first joined in parts, dealt twice at random, which connects
+   large groups of near copies. What is left are pairs of different groups: these are joined by the
+   prefix shingles that sets of different groups share, the sets of a shingle's largest group in
+   parts, each with the sets of its other groups, which alone are paired among themselves.
+6. The links' components, and the smallest doc_id in each, are the result.
 
 Results: one row for each row of the input. Null and empty texts, and texts without words, have
 n_shingles 0 and are their own component, as is their doc_id. A null doc_id is linked like others
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,7 @@ from quarrylight.llm.components import Forest, components, local_stars
 WORDS = 5
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Bytes of sets that one task compares; a component above this is split into parts of half of it.
+#: Bytes of sets that one task compares; what is above this is cut into parts of half of it.
 TASK_BYTES = 1 << 20
 #: Bytes of text in a block, of which a worker holds all shingles.
 BLOCK_BYTES = 4 << 20
@@ -47,7 +52,7 @@ def _kept(docs: pa.Table, aside: pa.Table) -> pa.Table:
     """The block's representatives: one row of each text that is the representative's."""
     if not docs.num_rows or not aside.num_rows:  # a side without rows has no columns either
         return pa.table({"text": pa.array([], pa.string()), "key": pa.array([], pa.int64())})
-    reps = aside.filter(pa.compute.is_valid(aside["rep_key"]))
+    reps = aside.filter(pc.is_valid(aside["rep_key"]))
     wanted = dict(zip(reps["rep_key"].to_pylist(), reps["rep_doc"].to_pylist()))
     rows, seen = [], set()
     for i, (key, doc) in enumerate(zip(docs["key"].to_pylist(), docs["doc_id"].to_pylist())):
@@ -85,15 +90,21 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
+def _packed(columns: dict[str, list]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _MADE.split(", ")]
+    return pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds)], names=names)
+
+
 def _prefixes(bits: int):
-    """Prefix entries of a block's sets by bucket, the ordered sets of those that have any, and all sizes."""
+    """The ends of a block's chains by bucket, the chains' links, the ordered sets that have a prefix entry, and all sizes."""
 
     def run(key: tuple, docs: pa.Table, aside: pa.Table) -> pa.Table:
         nodes, values, offsets, distinct = _sets(_kept(docs, aside))
         if not len(distinct):
             aside = pa.table({"bucket": pa.array([], pa.int32()), "figures": pa.array([], pa.binary())})
         size = np.diff(offsets)
-        often = B.figures(aside.filter(pa.compute.is_valid(aside["bucket"])), "u1")[np.searchsorted(distinct, values)]
+        often = B.figures(aside.filter(pc.is_valid(aside["bucket"])), "u1")[np.searchsorted(distinct, values)]
         rank = (often.astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
         row = np.repeat(np.arange(len(nodes)), size)
         order = np.lexsort((rank, row))
@@ -101,154 +112,216 @@ def _prefixes(bits: int):
         early = np.arange(len(row)) - np.repeat(offsets[:-1], size) < np.repeat(prefix_size(size), size)
         entry = np.flatnonzero(early & (often > 1))
         open_rows = np.unique(row[entry])
-        by_value = entry[np.argsort(values[entry])]
-        v = values[by_value]
-        bucket = (v >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
-        cut = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
-        full = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
-        out = [(0, i, None, None, v[cut[i] : cut[i + 1]].tobytes(), nodes[row[by_value[cut[i] : cut[i + 1]]]].tobytes(), size[row[by_value[cut[i] : cut[i + 1]]]].astype("<i4").tobytes()) for i in full]
-        out += [(1, None, int(nodes[r]), int(size[r]), rank[offsets[r] : offsets[r + 1]].tobytes(), None, None) for r in open_rows]
+        entry = entry[np.lexsort((size[row[entry]], values[entry]))]
+        v, n, node = values[entry], size[row[entry]], nodes[row[entry]]
+        chained = (v[1:] == v[:-1]) & (DENOMINATOR * n[:-1] >= NUMERATOR * n[1:])
+        a, b = local_stars(node[:-1][chained], node[1:][chained])
+        head = np.flatnonzero(np.concatenate([[True], ~chained])) if len(v) else np.zeros(0, np.int64)
+        last = np.append(head[1:], len(v))[: len(head)] - 1
+        ends = np.stack([n[head], n[last]], 1).astype("<i4")
+        buckets, spans = B.cuts(B.bucket_of(v[head], bits))
+        out = [(0, u, None, None, v[head[i:j]].tobytes(), node[head[i:j]].tobytes(), ends[i:j].tobytes()) for u, (i, j) in zip(buckets, spans)]
+        for r in open_rows:
+            own = slice(offsets[r], offsets[r + 1])
+            out.append((1, None, int(nodes[r]), int(size[r]), rank[own][often[own] > 1].tobytes(), None, None))
         out.append((2, None, None, None, nodes.tobytes(), None, size.astype("<i4").tobytes()))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _MADE.split(", ")])
+        out.append((3, None, None, None, a.tobytes(), b.tobytes(), None))
+        return _packed(dict(zip([x.split()[0] for x in _MADE.split(", ")], zip(*out))))
 
     return run
 
 
 def _chains(table: pa.Table) -> pa.Table:
-    """Links between sets that are neighbours by size among those with a common prefix shingle."""
+    """Links between the blocks' chains of one prefix shingle: by their smallest sizes, each that the largest before it reaches."""
     value = np.frombuffer(b"".join(table["data"].to_pylist()), "<u8")
     node = np.frombuffer(b"".join(table["more"].to_pylist()), "<i8")
-    size = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4").astype(np.int64)
-    order = np.lexsort((node, size, value))
-    value, node, size = value[order], node[order], size[order]
-    fits = (value[1:] == value[:-1]) & (node[1:] != node[:-1]) & (DENOMINATOR * size[:-1] >= NUMERATOR * size[1:])
+    ends = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
+    order = np.lexsort((node, ends[:, 0], value))
+    value, node, ends = value[order], node[order], ends[order]
+    group = np.cumsum(np.append(False, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    reach = np.maximum.accumulate((group << 32) + ends[:, 1]) & 0xFFFFFFFF
+    fits = (value[1:] == value[:-1]) & (node[1:] != node[:-1]) & (DENOMINATOR * reach[:-1] >= NUMERATOR * ends[1:, 0])
     a, b = local_stars(node[:-1][fits], node[1:][fits])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _links_of_blocks(batches):
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i8") for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+class Node:
+    """A run of shingles that all sets below have next, and what bounds those sets."""
+
+    __slots__ = ("edge", "depth", "ends", "children", "least", "most", "longest", "member")
+
+    def __init__(self, edge: np.ndarray, depth: int, least: int, most: int, longest: int):
+        self.edge, self.depth, self.least, self.most, self.longest = edge, depth, least, most, longest
+        self.ends: list[int] = []
+        self.children: list[Node] = []
+        self.member: int | None = None  # a set that all below are connected with
+
+
 class Trie:
-    """Ordered sets by their common beginnings; an edge holds all shingles up to the next fork."""
-
-    def __init__(self):
-        self.root: list = [np.zeros(0, np.uint64), {}, [], 1 << 60, 0]
-        self.paths: list[list] = []
-
-    def insert(self, number: int, values: np.ndarray) -> None:
-        node, at, path = self.root, 0, [self.root]
-        while at < len(values):
-            child = node[1].get(int(values[at]))
-            if child is None:
-                child = [values[at:], {}, [], 1 << 60, 0]
-                node[1][int(values[at])] = child
-            else:
-                edge = child[0]
-                k = min(len(edge), len(values) - at)
-                differ = np.flatnonzero(edge[:k] != values[at : at + k])
-                k = int(differ[0]) if len(differ) else k
-                if k < len(edge):
-                    below = [edge[k:], child[1], child[2], child[3], child[4]]
-                    for other in below[2] if not below[1] else self._leaves(below):
-                        line = self.paths[other]
-                        line.insert(next(i for i, x in enumerate(line) if x is child) + 1, below)
-                    child[0], child[1], child[2] = edge[:k], {int(edge[k]): below}, []
-            node = child
-            at += len(node[0])
-            path.append(node)
-        node[2].append(number)
-        for x in path:
-            x[3], x[4] = min(x[3], len(values)), max(x[4], len(values))
-        self.paths.append(path)
-
-    def _leaves(self, node: list) -> list[int]:
-        out, stack = [], [node]
-        while stack:
-            x = stack.pop()
-            out += x[2]
-            stack += x[1].values()
-        return out
-
-    def overlaps(self, values: np.ndarray, wanted: list[int]):
-        """(number, overlap) of the wanted sets that can still be similar, one after another; tell it by send(True) to leave those that follow."""
-        visit = {id(x) for i in wanted for x in self.paths[i]}
-        want, stack = set(wanted), [(self.root, 0, 0)]
+    """Ordered sets by their common beginnings. `index` has the nodes that hold a shingle in some set's prefix."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], numbers: list[int]):
+        self.index: dict[int, list[Node]] = {}
+        order = sorted(numbers, key=lambda i: sets[i].astype(">u8").tobytes())
+        stack: list[tuple[int, int, int, Node | None]] = [(0, len(order), 0, None)]
         while stack:
-            node, overlap, depth = stack.pop()
-            edge = node[0]
-            remaining = len(values)
-            if len(edge):
-                at = np.searchsorted(values, edge)
-                hit = values[np.minimum(at, len(values) - 1)] == edge
-                overlap += int(np.count_nonzero(hit))
-                depth += len(edge)
-                remaining = len(values) - int(at[-1]) - int(hit[-1])
-            bound = overlap + min(node[4] - depth, remaining)
-            if (NUMERATOR + DENOMINATOR) * bound < NUMERATOR * (len(values) + node[3]):
+            low, high, depth, parent = stack.pop()
+            own = order[low:high]
+            if not own:
                 continue
-            for i in node[2]:
-                if i in want:
+            first, last = sets[own[0]], sets[own[-1]]
+            k = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:k] != last[depth:k])
+            end = depth + int(differ[0]) if len(differ) else k
+            node = Node(first[depth:end], depth, min(sizes[i] for i in own), max(sizes[i] for i in own), max(len(sets[i]) for i in own))
+            if parent:
+                parent.children.append(node)
+            prefix = max(prefix_length(sets[i], sizes[i]) for i in own)
+            for value in node.edge[: max(0, prefix - depth)].tolist():
+                self.index.setdefault(value, []).append(node)
+            while low < high and len(sets[order[low]]) == end:
+                node.ends.append(order[low])
+                low += 1
+            while low < high:
+                value, to = sets[order[low]][end], low + 1
+                while to < high and sets[order[to]][end] == value:
+                    to += 1
+                stack.append((low, to, end, node))
+                low = to
+
+    def similar(self, values: np.ndarray, n: int, prefix: int, forest: Forest, own: int, smaller: bool):
+        """Sets (by number) of similarity 0.8 or more that aren't connected with set `own` yet, found by going down from the nodes of its prefix."""
+        seen: set[int] = set()
+        for value in values[:prefix].tolist():
+            stack = [(node, 0, 0) for node in self.index.get(value, ()) if id(node) not in seen]
+            while stack:
+                node, overlap, at = stack.pop()
+                seen.add(id(node))
+                if DENOMINATOR * node.most < NUMERATOR * n or (node.least > n if smaller else NUMERATOR * node.least > DENOMINATOR * n):
+                    continue
+                if self._connected(node, forest, forest.find(own)):
+                    continue
+                need = NUMERATOR * (n + max(node.least, -(-NUMERATOR * n // DENOMINATOR)))
+                whole = NUMERATOR + DENOMINATOR
+                if whole * (overlap + min(len(values) - at, node.longest - node.depth)) < need:
+                    continue
+                if len(node.edge):
+                    place = np.searchsorted(values, node.edge)
+                    hit = values[np.minimum(place, len(values) - 1)] == node.edge
+                    overlap += int(np.count_nonzero(hit))
+                    at = int(place[-1]) + int(hit[-1])
+                    if whole * (overlap + min(len(values) - at, node.longest - node.depth - len(node.edge))) < need:
+                        continue
+                for i in node.ends:
                     yield i, overlap
-            stack += [(child, overlap, depth) for child in node[1].values() if id(child) in visit]
-
-
-def join_sets(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets of similarity 0.8 or more; with sides, only sets of different sides are compared."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    forest, trie, index, links = Forest(len(sets)), Trie(), {}, []
-    names: list[int] = []
-    for i in order:
-        values = sets[i]
-        prefix = values[: int(prefix_size(np.array(len(values))))].tolist()
-        root = forest.find(i)
-        near: dict[int, int] = {}
-        for v in prefix:
-            for k in index.get(v, ()):
-                near[k] = near.get(k, 0) + 1
-        wanted = [k for k in near if DENOMINATOR * len(sets[names[k]]) >= NUMERATOR * len(values) and (side is None or side[names[k]] != side[i])]
-        wanted.sort(key=near.__getitem__)  # the likeliest last, where the traversal of a first few begins
-        while wanted:
-            some, wanted = wanted[-4:], wanted[:-4]
-            some = [k for k in some if forest.find(names[k]) != root]
-            for k, overlap in trie.overlaps(values, some) if some else ():
-                j = names[k]
-                if DENOMINATOR * overlap >= NUMERATOR * (len(values) + len(sets[j]) - overlap) and forest.union(i, j):
-                    links.append((i, j))
-                    root = forest.find(i)
-        trie.insert(len(names), values)
-        names.append(i)
-        for v in prefix:
-            index.setdefault(v, []).append(len(names) - 1)
+                stack += [(child, overlap, at) for child in node.children]
+
+    @staticmethod
+    def _connected(node: Node, forest: Forest, root: int) -> bool:
+        if node.member is None:
+            members = [c.member for c in node.children] + node.ends
+            if None in members or len({forest.find(m) for m in members}) > 1:
+                return False
+            node.member = members[0]
+        return forest.find(node.member) == root
+
+
+def prefix_length(values: np.ndarray, n: int) -> int:
+    """How many of a set's shared shingles are in its prefix; those that it has alone come first and aren't there."""
+    return max(0, int(prefix_size(np.array(n))) - (n - len(values)))
+
+
+def join_sets(sets: list[np.ndarray], sizes: list[int], side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets of similarity 0.8 or more; with two sides, only sets of different sides are compared.
+
+    Of each set its shared shingles in the global order and its whole size; sets of one known group are connected.
+    """
+    forest, links, heads, apart = Forest(len(sets)), [], {}, len(sets)
+    for i, group in enumerate(known or []):
+        apart -= forest.union(i, heads.setdefault(group, i))
+    two = side is not None and len(set(side)) > 1
+    trie = Trie(sets, sizes, [i for i in range(len(sets)) if not two or not side[i]])
+    for i in sorted((i for i in range(len(sets)) if not two or side[i]), key=lambda i: sizes[i]):
+        if apart == 1:
+            break
+        n = sizes[i]
+        for j, overlap in trie.similar(sets[i], n, prefix_length(sets[i], n), forest, i, not two):
+            if i != j and DENOMINATOR * overlap >= NUMERATOR * (n + sizes[j] - overlap) and forest.union(i, j):
+                links.append((i, j))
+                apart -= 1
     return links
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    """Links of all components (or pairs of parts) of a group of tasks."""
+    """Links of all tasks of a group."""
     table = table.sort_by([("task", "ascending"), ("node", "ascending")])
-    task, node, part = table["task"].to_numpy(), table["node"].to_numpy(), table["part"].to_pylist()
-    data = table["data"].to_pylist()
+    task, node = table["task"].to_numpy(), table["node"].to_numpy()
+    side, known, sizes, data = (table[c].to_pylist() for c in ("side", "known", "n", "data"))
     edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]])).tolist()
     a, b = [], []
     for i, j in zip(edge, edge[1:]):
-        sides = part[i:j]
-        for x, y in join_sets([np.frombuffer(d, "<u8") for d in data[i:j]], sides if len(set(sides)) == 2 else None):
+        for x, y in join_sets([np.frombuffer(d, "<u8") for d in data[i:j]], sizes[i:j], side[i:j], None if known[i] is None else known[i:j]):
             a.append(node[i + x])
             b.append(node[i + y])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _tasks(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """task, part, node, data: each component as one task, or as all pairs of its parts."""
-    sized = sets.join(labels, "node").select("node", "data", "label")
+def _prefix_entries(batches):
+    """node, value of each prefix shingle of the sets."""
+    for batch in batches:
+        nodes, sets = batch.column(0).to_pylist(), [np.frombuffer(d, "<u8") for d in batch.column(2).to_pylist()]
+        heads = [s[: prefix_length(s, n)] for s, n in zip(sets, batch.column(1).to_pylist())]
+        value = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), [len(h) for h in heads])), pa.array(value.view(np.int64))], ["node", "value"])
+
+
+def _between_groups(sets: DataFrame) -> DataFrame:
+    """task, side, node: who is to be compared with whom among sets (node, n, data, known) of different known groups.
+
+    A prefix shingle's sets are those of its largest group and the others. The others are cut into parts,
+    all pairs of which are tasks, as are all pairs of them with parts of the largest group.
+    """
+    entries = sets.select("node", "n", "data").mapInArrow(_prefix_entries, "node long, value long").join(sets.select("node", "known", F.octet_length("data").alias("weight")), "node")
+    by_group = entries.groupBy("value", "known").agg(F.sum("weight").alias("weight"))
+    shared = by_group.groupBy("value").agg(F.count("*").alias("groups"), F.max_by("known", F.struct("weight", "known")).alias("largest"), F.sum("weight").alias("all"), F.max("weight").alias("most")).where("groups > 1")
+
+    def parts(weight):
+        return F.ceil(2 * weight / TASK_BYTES).cast("int")
+
+    dealt = entries.join(shared.select("value", "largest", parts(F.col("most")).alias("parts"), parts(F.col("all") - F.col("most")).alias("others")), "value")
+    is_largest = F.col("known") == F.col("largest")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.when(is_largest, F.col("parts")).otherwise(F.col("others"))).cast("int")
+    dealt = dealt.select("node", "value", "parts", "others", is_largest.alias("is_largest"), part.alias("part"))
+    first, to_last = F.lit(0), F.col("others") - 1
+    of_largest = dealt.where("is_largest").select("node", F.lit(1).alias("side"), F.explode(F.sequence(first, to_last)).alias("a"), F.col("part").alias("c"), "value").select("node", "side", F.xxhash64("value", "a", F.lit(-1), "c").alias("task"))
+    against = dealt.where("not is_largest").select("node", F.explode(F.sequence(first, F.col("parts") - 1)).alias("c"), F.col("part").alias("a"), "value").select("node", F.lit(0).alias("side"), F.xxhash64("value", "a", F.lit(-1), "c").alias("task"))
+    pairs = dealt.where("not is_largest").select("node", F.explode(F.sequence(first, to_last)).alias("b"), "part", "value").select("node", (F.col("part") > F.col("b")).cast("int").alias("side"), F.xxhash64("value", F.least("part", "b"), F.greatest("part", "b")).alias("task"))
+    return of_largest.unionByName(against).unionByName(pairs)
+
+
+def links_of(sets: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
+    """a, b: links that connect all similar sets (node, n, data) within the candidates' components (node, label)."""
+    schema = "a long, b long"
+    sized = sets.join(candidates, "node").select("node", "n", "data", "label")
     weight = sized.groupBy("label").agg(F.sum(F.octet_length("data")).alias("weight"))
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("weight") / TASK_BYTES)).cast("int")
-    both = sized.join(weight.select("label", F.when(F.col("weight") > TASK_BYTES, parts).otherwise(1).alias("parts")), "label")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    return (
-        both.withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("task", F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other")))
-        .select("task", "part", "node", "data")
-    )
+    large = weight.where(F.col("weight") > TASK_BYTES).select("label", F.ceil(2 * F.col("weight") / TASK_BYTES).cast("int").alias("parts"))
+    task = F.when(F.col("parts").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("label", "seed", F.pmod(F.xxhash64("node", "seed"), F.col("parts"))))
+    seeds = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))
+    none = F.lit(None).cast("long").alias("known")
+    dealt = sized.join(large, "label", "left").withColumn("seed", F.explode(seeds)).select(task.alias("task"), F.lit(0).alias("side"), none, "node", "n", "data")
+    links = checkpointed(dealt.withColumn("group", F.pmod("task", F.lit(groups))).groupBy("group").applyInArrow(_joined, schema))
+    if large.isEmpty():
+        return links
+    grouped = components(links).withColumnRenamed("label", "known")
+    rest = checkpointed(sized.join(large, "label", "left_semi").join(grouped, "node", "left").select("node", "n", "data", F.coalesce("known", "node").alias("known")))
+    more = _between_groups(rest).join(rest, "node").select("task", "side", "known", "node", "n", "data")
+    return links.unionByName(more.groupBy("task").applyInArrow(_joined, schema))
 
 
 def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -266,10 +339,9 @@ def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     answered = B.answers(asked, B.counter(_frequency, "u1")).select("block", F.lit(None).cast("long").alias("rep_key"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep_doc"), "bucket", "figures")
     made = checkpointed(side.cogroup(rep_rows.unionByName(answered).groupBy("block")).applyInArrow(B.tidy(_prefixes(bits)), _MADE))
 
-    candidates = components(made.where("kind = 0").select("bucket", "data", "more", "sizes").groupBy("bucket").applyInArrow(_chains, "a long, b long"))
-    tasks = _tasks(made.where("kind = 1").select("node", "data"), candidates)
-    groups = max(1, n_blocks)
-    links = tasks.withColumn("group", F.pmod("task", F.lit(groups))).groupBy("group").applyInArrow(_joined, "a long, b long")
+    chains = made.where("kind = 0").select("bucket", "data", "more", "sizes").groupBy("bucket").applyInArrow(_chains, "a long, b long")
+    within = made.where("kind = 3").select("data", "more").mapInArrow(_links_of_blocks, "a long, b long")
+    links = links_of(made.where("kind = 1").select("node", "n", "data"), components(chains.unionByName(within)), n_blocks)
     labels = components(links)
 
     sizes = made.where("kind = 2").select("data", "sizes").mapInArrow(_sizes, "key long, n_shingles long")
