@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 #: Small tables have as many blocks as the session has partitions, but none of less than this.
 LEAST_BYTES = 1 << 20
-#: Ranges of ids that are cut at listed edges; a larger number of ranges has equal widths.
+#: Ranges of ids whose edges are listed, and the bytes that count as one row where these are set.
 MOST_EDGES = 10_000
+WEIGHT_BYTES = 4096
 
 ASK = "block int, bucket int, n int, keys binary, values binary"
 
@@ -152,12 +153,14 @@ def range_of(column: Column, edges: list) -> Column:
     return (row * F.lit(step) + F.size(F.filter(F.element_at(tails, row + 1), lambda e: e <= column))).cast("int")
 
 
-def id_edges(docs: DataFrame, blocks: int) -> list[int]:
-    """doc_ids that cut the rows into about equal numbers; as many as blocks, less one, at most."""
-    if blocks < 2:
+def id_edges(docs: DataFrame, ranges: int) -> list[int]:
+    """doc_ids that cut the rows into ranges of about equal bytes; as many as ranges, less one, at most."""
+    if ranges < 2:
         return []
-    at = [i / blocks for i in range(1, blocks)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 100 * blocks)).first()[0]
+    at = [i / ranges for i in range(1, ranges)]
+    weight = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / WEIGHT_BYTES).cast("int")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.explode(F.sequence(F.lit(1), weight)))
+    found = ids.agg(F.percentile_approx("id", at, 100 * ranges)).first()[0]
     return sorted(set(found or []))
 
 
@@ -180,23 +183,27 @@ def tidy(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tupl
 
 
 def id_ranges(docs: DataFrame, blocks: int) -> Callable[[Column], Column]:
-    """A function from doc_ids to blocks that rise with them; null goes where 0 goes.
+    """A function from doc_ids to blocks that rise with them.
 
-    Up to MOST_EDGES blocks hold about equal numbers of rows. More of them are equal ranges of ids,
-    which need no list of edges, and are as even as the ids are dense.
+    Listed edges cut the ids into ranges of equal bytes, one a block up to MOST_EDGES of them; if more
+    blocks are needed, each range is cut into blocks of equal widths of ids.
     """
-    if blocks > MOST_EDGES:
-        low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
-        if low is not None:
-            width = max(1, math.ceil((high - low + 1) / blocks))
-
-            def block(column: Column) -> Column:
-                above = F.greatest(F.coalesce(column.cast("long"), F.lit(low)) - low, F.lit(0))
-                return ((above - F.pmod(above, F.lit(width))) / width).cast("int")
-
-            return block
-    edges = id_edges(docs, blocks) if blocks <= MOST_EDGES else []
-    return lambda column: range_of(F.coalesce(column.cast("long"), F.lit(0).cast("long")), edges) if edges else F.lit(0)
+    edges = id_edges(docs, min(blocks, MOST_EDGES))
+    fine = math.ceil(blocks / (len(edges) + 1))
+    if fine == 1:
+        return lambda column: range_of(column.cast("long"), edges) if edges else F.lit(0)
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    starts = [low or 0, *edges]
+    widths = [max(1, math.ceil((b - a) / fine)) for a, b in zip(starts, [*edges, (high or 0) + 1])]
+    lists = [F.array(*[F.lit(x) for x in part]).cast("array<bigint>") for part in (starts, widths)]
+
+    def block(column: Column) -> Column:
+        at = range_of(column.cast("long"), edges) if edges else F.lit(0)
+        above = column.cast("long") - F.element_at(lists[0], at + 1)
+        width = F.element_at(lists[1], at + 1)
+        return (at * fine + F.least((above - F.pmod(above, width)) / width, F.lit(fine - 1))).cast("int")
+
+    return block
 
 
 ANSWER = "block int, bucket int, figures binary"
