@@ -1,15 +1,26 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""The folder that the cluster shares, and cutting lineage there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only where driver and tasks are one process may it be a temporary one."""
+    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if given is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(given)
+    return given
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder; a temporary one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    """The rows, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
