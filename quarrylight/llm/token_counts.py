@@ -4,12 +4,15 @@ A text is cut before white space into leaves of some hundred characters. White s
 leaves are encoded on their own and their token counts add up. The tree keeps sums of characters and
 of tokens; an edit finds its leaves by position, re-encodes them (and the leaf before, if the edit
 begins where a leaf does, since what it writes may join the word that ends there) and updates the
-sums above. Trees are a column of a table, so they can be stored and edited again.
+sums above. `trees` makes a table with a tree column, to be stored; `edited` takes such a table and a
+column of edits and returns it with the new trees, for the next edits: it has no other text than the
+leaves, and encodes nothing but what an edit touches. Rows without edits pass by as Arrow columns.
 
 Results: null and empty texts have one empty leaf and no tokens; edits beyond a text's end are cut to
 it, and null ones leave the text as it is; they apply in order, each to the text that the one before
-left; documents without edits keep their counts; repeated rows are edited alike; an empty table
-gives an empty one.
+left; documents without edits keep their counts; repeated rows are edited alike, and null doc_ids like
+others; a long text has more leaves; an empty table gives an empty one; other columns are kept by
+`trees` and `edited`, which refuse a table that has one of the names that they add, and not read by `count`.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,9 @@ from quarrylight.llm.word_bpe import Encoder, encoder
 LEAF = 256
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 EDITS = "array<struct<start:long,end:long,text:string>>"
+#: Leaves' texts, and the sums of characters and tokens of all nodes from the root (1) on; the leaves' are the second half.
+TREE = "struct<parts:array<string>,chars:array<bigint>,tokens:array<bigint>>"
+ROWS_AT_ONCE = 512
 
 
 def leaves(text: str) -> list[str]:
@@ -52,6 +60,17 @@ class SegmentTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    @classmethod
+    def stored(cls, tree: dict) -> SegmentTree:
+        """The tree that a row has, without adding anything up again."""
+        out = object.__new__(cls)
+        out.parts, out.chars, out.tokens = list(tree["parts"]), list(tree["chars"]), list(tree["tokens"])
+        out.size = len(out.chars) // 2
+        return out
+
+    def row(self) -> dict:
+        return {"parts": self.parts, "chars": self.chars, "tokens": self.tokens}
+
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that has a character position (the last leaf for the end of the text), and where it begins."""
         node, start = 1, 0
@@ -108,26 +127,72 @@ def edit(trees: list[SegmentTree], edits: list[list[tuple[int, int, str]]], code
     return again
 
 
+_ROW = pa.struct([("parts", pa.list_(pa.string())), ("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _with_columns(rows: DataFrame, run, added: dict[str, str], gone: str) -> DataFrame:
+    """The rows with more columns in place of one; `run` gets a part of that one and returns arrays."""
+    kept = [c for c in rows.columns if c != gone]
+    if set(kept) & set(added):
+        raise ValueError(f"the table has {sorted(set(kept) & set(added))} already")
+    at = rows.columns.index(gone)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _portions(batches):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(part.columns)) if i != at), *run(part)], [*kept, *added])
+
+    return rows.mapInArrow(over, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != gone), *(f"{c} {t}" for c, t in added.items())]))
+
+
+def trees(docs: DataFrame, path: str) -> DataFrame:
+    """All columns but the text, and tree, n_tokens: every text is cut and encoded once."""
+    at = docs.columns.index("text")
+
+    def run(part: pa.RecordBatch) -> list[pa.Array]:
+        cut = [leaves(t or "") for t in part.column(at).to_pylist()]
+        sizes = iter(map(len, encoder(path).encode([p for parts in cut for p in parts])))
+        made = [SegmentTree(parts, [next(sizes) for _ in parts]) for parts in cut]
+        return [pa.array([t.row() for t in made], _ROW), pa.array([t.tokens[1] for t in made], pa.int64())]
+
+    return _with_columns(docs, run, {"tree": TREE, "n_tokens": "bigint"}, "text")
+
+
+def edited(rows: DataFrame, edits: str, path: str) -> DataFrame:
+    """The rows of `trees` after the edits in a column of theirs, which goes: tree, n_tokens, and n_chars_encoded, what was encoded again."""
+    names = [c for c in rows.columns if c not in (edits, "n_chars_encoded")]
+    rows = rows.select(*(F.col(f"`{c}`") for c in names if c not in ("tree", "n_tokens")), F.struct("tree", F.col(f"`{edits}`").cast(EDITS).alias("edits")).alias("work"))
+    at = rows.columns.index("work")
+
+    def run(part: pa.RecordBatch) -> list[pa.Array]:
+        tree, own = part.column(at).field("tree"), part.column(at).field("edits")
+        touched = pc.fill_null(pc.greater(pc.list_value_length(own), 0), False)
+        some = pc.indices_nonzero(touched)
+        made = [SegmentTree.stored(t) for t in tree.take(some).to_pylist()]
+        wanted = [[(e["start"], e["end"], e["text"] or "") for e in edits if e and e["start"] is not None and e["end"] is not None] for edits in own.take(some).to_pylist()]
+        again = edit(made, wanted, encoder(path))
+        # new trees stand behind the old ones, and each row takes its own
+        place = np.arange(len(tree))
+        place[some.to_numpy()] = len(tree) + np.arange(len(made))
+        encoded = np.zeros(len(tree), np.int64)
+        encoded[some.to_numpy()] = again
+        out = pa.concat_arrays([tree.cast(_ROW), pa.array([t.row() for t in made], _ROW)]).take(pa.array(place))
+        return [out, pc.list_element(out.field("tokens"), 1), pa.array(encoded)]
+
+    return _with_columns(rows, run, {"tree": TREE, "n_tokens": "bigint", "n_chars_encoded": "bigint"}, "work")
+
+
 def count(docs: DataFrame, edits: Column, path: str) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_leaves, n_chars_encoded: counts before and after the edits."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_leaves", "n_chars_encoded"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                cut = [leaves(t or "") for t in part.column(1).to_pylist()]
-                sizes = iter(map(len, coder.encode([p for parts in cut for p in parts])))
-                trees = [SegmentTree(parts, [next(sizes) for _ in parts]) for parts in cut]
-                before = [t.tokens[1] for t in trees]
-                wanted = [[(e["start"], e["end"], e["text"] or "") for e in own or [] if e and e["start"] is not None and e["end"] is not None] for own in part.column(2).to_pylist()]
-                again = edit(trees, wanted, coder)
-                figures = [before, [t.tokens[1] for t in trees], [t.chars[1] for t in trees], [len(t.parts) for t in trees], again]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f, pa.int64()) for f in figures)], names)
-
-    return docs.select("doc_id", "text", edits.cast(EDITS).alias("edits")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_leaves long, n_chars_encoded long")
+    made = trees(docs.select("doc_id", "text", edits.cast(EDITS).alias("edits")), path).withColumn("n_before", F.col("n_tokens"))
+    after = edited(made, "edits", path)
+    n_leaves = F.size("tree.parts").cast("long")
+    return after.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.element_at("tree.chars", 2).alias("n_chars_edited"), n_leaves.alias("n_leaves"), "n_chars_encoded")
 
 
 def sample_edits(doc_id: Column, text: Column) -> Column:

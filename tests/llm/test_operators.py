@@ -545,6 +545,39 @@ def test_token_counts_after_edits(docs, rows):
         assert (got[d]["n_tokens"], got[d]["n_tokens_edited"], got[d]["n_chars_edited"]) == (before, n(t), len(t))
 
 
+def test_stored_trees_are_edited_again_and_only_where_touched(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, path = tokenizers.Tokenizer.from_file(queries.tokenizer()), queries.tokenizer()
+    rng = random.Random(12)
+    texts = {i: " ".join("w" * rng.randint(1, 12) for _ in range(400)) for i in range(6)} | {6: None, 7: ""}
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in texts.items()], "doc_id long, text string, source string")
+    stored = token_counts.trees(docs, path).persist()
+    assert stored.columns == ["doc_id", "source", "tree", "n_tokens"]
+    state = {i: t or "" for i, t in texts.items()}
+    for _ in range(2):
+        plan = [(i, [(rng.randint(0, len(t)), 0, rng.choice([" new words ", "x", "y y"])) for _ in range(2)]) for i, t in state.items() if i != 3]
+        plan = [(i, [(a, a + rng.choice([0, 3]), x) for a, _, x in own]) for i, own in plan]
+        edits = spark.createDataFrame(plan, f"doc_id long, edits {token_counts.EDITS}")
+        stored = token_counts.edited(stored.join(edits, "doc_id", "left"), "edits", path).persist()
+        for i, own in plan:
+            for a, b, x in own:
+                a, b = min(a, len(state[i])), min(b, len(state[i]))
+                state[i] = state[i][:a] + x + state[i][b:]
+        got = table(stored)
+        assert all(got[i]["source"] == "kept" for i in state)
+        for i, t in state.items():
+            assert got[i]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids) and "".join(got[i]["tree"]["parts"]) == t
+        assert got[3]["n_chars_encoded"] == 0 and all(got[i]["n_chars_encoded"] < 1500 < len(state[i]) for i in (0, 1, 2))
+    # a leaf that no edit touches isn't read: nonsense there changes nothing
+    tree = SegmentTree = token_counts.SegmentTree.stored(got[0]["tree"])
+    last = max(i for i, p in enumerate(tree.parts) if p)
+    before, tree.parts[last] = tree.tokens[1], "?" * len(tree.parts[last])
+    again = token_counts.edit([SegmentTree], [[(0, 0, "x ")]], word_bpe.Encoder(word_bpe.vocabulary(path)))
+    assert again[0] < 700 and tree.tokens[1] == before + 1
+    with pytest.raises(ValueError):
+        token_counts.trees(docs.withColumn("tree", F.lit(1)), path)
+
+
 def test_segment_trees_under_many_edits():
     rng = random.Random(6)
     coder = word_bpe.Encoder(word_bpe.vocabulary(queries.tokenizer()))
