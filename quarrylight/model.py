@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,33 @@ def valid_id(value: Column) -> Column:
     return value.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & (value != NIL_ID)
 
 
+#: Fixed values of the object id: starts of the two hashes, their prime, the domain.
+_LANES, _PRIME, _DOMAIN = (14695981039346656037, 7809847782465536322), 1099511628211, b"DIRECTEYE-CANONICAL-v1"
+
+
+def object_id(tenant: Column, record: Column) -> Column:
+    """The id of a tenant's record: two FNV-1a hashes of domain, tenant (four bytes) and record, shaped as a UUID of version 5; null if one is null."""
+
+    def run(tenants: pd.Series, names: pd.Series) -> pd.Series:
+        raw = [None if pd.isna(t) or n is None else _DOMAIN + int(t).to_bytes(4, "big") + n.encode() for t, n in zip(tenants, names)]
+        size = np.array([len(r or b"") for r in raw])
+        data = np.zeros((len(raw), int(size.max(initial=0))), np.uint64)
+        for i, r in enumerate(raw):
+            data[i, : size[i]] = np.frombuffer(r or b"", np.uint8)
+        lanes = []
+        for start in _LANES:
+            h = np.full(len(raw), start, np.uint64)
+            for place in range(data.shape[1]):
+                h = np.where(place < size, (h ^ data[:, place]) * np.uint64(_PRIME), h)
+            lanes.append(h)
+        version = lanes[0] & np.uint64(~0xF000 & (1 << 64) - 1) | np.uint64(0x5000)
+        variant = lanes[1] & np.uint64((1 << 62) - 1) | np.uint64(1 << 63)
+        text = [f"{int(a):016x}{int(b):016x}" for a, b in zip(version, variant)]
+        return pd.Series([None if r is None else "-".join((t[:8], t[8:12], t[12:16], t[16:20], t[20:])) for r, t in zip(raw, text)])
+
+    return F.pandas_udf(run, "string")(tenant, record)
+
+
 def records(events: DataFrame) -> DataFrame:
     """The events table as labelled, versioned records."""
     e = F.col("event_id")

@@ -58,6 +58,11 @@ def slot_node(slot: Column, nodes: int) -> Column:
     return F.floor(slot * nodes / SLOTS)
 
 
+def slot_node_even(slot: Column, nodes: int) -> Column:
+    """The other rule for nodes: equal runs of slots, the rest to the last node."""
+    return F.least(F.floor(slot / (SLOTS // nodes)), F.lit(nodes - 1))
+
+
 def fan_out(tables: dict[int, DataFrame]) -> DataFrame:
     """The rows of all nodes with their source_node."""
     return reduce(DataFrame.unionByName, [t.withColumn("source_node", F.lit(n)) for n, t in tables.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight import model
+from quarrylight.operators.ranges import earlier
 from quarrylight.security import Caller, allowed
 
 VERSION = ("epoch", "generation", "arrival")
@@ -17,29 +18,38 @@ def corrupt(now_ms: Column | None = None) -> Column:
     return out if now_ms is None else out | (F.col("physical_ms") > now_ms + model.CLOCK_AHEAD_MS)
 
 
-def ingest_status(records: DataFrame, scope: str | None = None, start_epoch: int = 0, now_ms: Column | None = None) -> DataFrame:
+def ingest_status(records: DataFrame, scope: str, start_epoch: int = 0, now_ms: Column | None = None) -> DataFrame:
     """The records with a status: CORRUPT, STALE_FENCING_EPOCH, DUPLICATE, TOMBSTONE_APPLIED, OK.
 
-    The fence is the largest epoch that arrived before, of the stream or of each `scope` (a tenant,
-    say: the form for large streams, since a fence over all rows orders all rows). Exact where an
-    event id always carries one epoch; `streaming.identity_stream` has the sequential form.
+    The fence of a `scope` (a tenant, say) is the largest epoch that it accepted before; a duplicate doesn't
+    raise it. Which records were accepted depends on the fence: at first the first record of each event id
+    raises it, and as long as a later one turns out to be accepted (all before it were stale) it is taken
+    in too. The fence only rises by that, so the end is what record after record would give; it needs one
+    round where an event id always carries one epoch.
     """
     bad = F.coalesce(corrupt(now_ms), F.lit(False))
-    by = Window.partitionBy(scope) if scope else Window.partitionBy(F.lit(0))
-    before = by.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.greatest(F.lit(start_epoch), F.coalesce(F.max(F.when(~F.col("is_corrupt"), F.col("epoch"))).over(before), F.lit(start_epoch)))
-    fenced = records.withColumn("is_corrupt", bad).withColumn("fence", fence)
-    stale = ~F.col("is_corrupt") & (F.col("epoch") < F.col("fence"))
-    same = Window.partitionBy("event_id", "is_corrupt", "is_stale").orderBy("arrival")
-    seen = fenced.withColumn("is_stale", stale).withColumn("occurrence", F.row_number().over(same))
+    nameless = F.col("event_id").cast("string") == model.NIL_ID  # never a duplicate
+    same = [scope, "event_id", "is_corrupt"]
+    first = F.row_number().over(Window.partitionBy(*same).orderBy("arrival")) == 1
+    marked = records.withColumn("is_corrupt", bad).withColumn("raises", ~F.col("is_corrupt") & (first | nameless))
+    while True:
+        fence = F.greatest(F.lit(start_epoch), F.coalesce("fence", F.lit(start_epoch)))
+        fenced = earlier(marked, [scope], "arrival", {"fence": ("max", F.when(F.col("raises"), F.col("epoch")))})
+        fenced = fenced.withColumn("is_stale", ~F.col("is_corrupt") & (F.col("epoch") < fence))
+        seen = fenced.withColumn("occurrence", F.row_number().over(Window.partitionBy(*same, "is_stale").orderBy("arrival")))
+        accepted = ~F.col("is_corrupt") & ~F.col("is_stale") & ((F.col("occurrence") == 1) | nameless)
+        missed = seen.where(accepted & ~F.col("raises"))
+        if missed.isEmpty():
+            break
+        marked = seen.withColumn("raises", F.col("raises") | accepted).select(*marked.columns)
     status = (
         F.when(F.col("is_corrupt"), "CORRUPT")
         .when(F.col("is_stale"), "STALE_FENCING_EPOCH")
-        .when((F.col("occurrence") > 1) & (F.col("event_id").cast("string") != model.NIL_ID), "DUPLICATE")
+        .when(~accepted, "DUPLICATE")
         .when(model.has(F.col("flags"), model.TOMBSTONE), "TOMBSTONE_APPLIED")
         .otherwise("OK")
     )
-    return seen.withColumn("status", status).drop("is_corrupt", "is_stale", "occurrence", "fence")
+    return seen.withColumn("status", status).select(*records.columns, "status")
 
 
 def ingest_stats(statused: DataFrame) -> DataFrame:
@@ -93,7 +103,7 @@ def secure_lookup(current: DataFrame, wanted: DataFrame, caller: Caller | None)
     return wanted.join(labelled, "object_id", "left").select("object_id", status.alias("status"), F.when(F.col("may"), F.col("generation")).alias("generation"))
 
 
-def secure_ingest(records: DataFrame, caller: Caller, scope: str | None = None) -> DataFrame:
+def secure_ingest(records: DataFrame, caller: Caller, scope: str) -> DataFrame:
     """What a caller (OPS at least, of the records' tenant, holding their compartments) may ingest, with statuses."""
     if caller.clearance < model.OPS:
         return ingest_status(records.where(F.lit(False)), scope)
@@ -113,15 +123,16 @@ def bootstrap(snapshot: DataFrame, live: DataFrame, watermark_ms: int) -> tuple[
 
 
 def feed_violations(events: DataFrame) -> DataFrame:
-    """Rows that break an object's order: epochs may not fall; (generation, clock) must rise; the resource stays."""
+    """Rows that break an object's order: epochs may not fall; (generation, clock) must rise; a tombstone gives way only if both are newer; the resource stays."""
     w = Window.partitionBy("object_id").orderBy("arrival")
-    version = F.struct("generation", "physical_ms", "logical")
-    checked = events.select(
-        "object_id",
-        "arrival",
-        (F.col("epoch") < F.lag("epoch").over(w)).alias("epoch_fell"),
-        (version <= F.lag(version).over(w)).alias("version_fell"),
-        (model.has(F.lag("flags").over(w), model.TOMBSTONE) & ~model.has(F.col("flags"), model.TOMBSTONE)).alias("resurrected"),
-    )
-    names = ["epoch_fell", "version_fell", "resurrected"]
-    return checked.select("object_id", "arrival", *(F.coalesce(n, F.lit(False)).alias(n) for n in names)).where(" or ".join(names))
+    version, clock = F.struct("generation", "physical_ms", "logical"), F.struct("physical_ms", "logical")
+    older = (F.col("generation") <= F.lag("generation").over(w)) | (clock <= F.lag(clock).over(w))
+    faults = {
+        "epoch_fell": F.col("epoch") < F.lag("epoch").over(w),
+        "version_fell": version <= F.lag(version).over(w),
+        "resurrected": model.has(F.lag("flags").over(w), model.TOMBSTONE) & ~model.has(F.col("flags"), model.TOMBSTONE) & older,
+    }
+    if "resource_id" in events.columns:
+        faults["resource_changed"] = F.col("resource_id") != F.lag("resource_id").over(w)
+    checked = events.select("object_id", "arrival", *(f.alias(n) for n, f in faults.items()))
+    return checked.select("object_id", "arrival", *(F.coalesce(n, F.lit(False)).alias(n) for n in faults)).where(" or ".join(faults))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.operators.ranges import earlier
+
 MIN_SAMPLES = 5
 ALPHA = 0.2
 WINDOWS_MS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "24h": 86_400_000}
@@ -19,10 +21,9 @@ def samples(events: DataFrame) -> DataFrame:
 
 def baselines(samples: DataFrame) -> DataFrame:
     """Each sample with count, mean, deviation of all earlier ones of its node and metric, and its z-score (null before five)."""
-    before = Window.partitionBy("node_id", "metric").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     v = F.col("value")
-    n, s, q = F.count(v).over(before), F.sum(v).over(before), F.sum(v * v).over(before)
-    counted = samples.withColumn("n", n).withColumn("s", s).withColumn("q", q)
+    counted = earlier(samples, ["node_id", "metric"], "arrival", {"n": ("sum", v.isNotNull().cast("long")), "s": ("sum", v), "q": ("sum", v * v)})
+    counted = counted.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     mean = F.col("s") / F.col("n")
     variance = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
     enough = F.col("n") >= MIN_SAMPLES
@@ -107,11 +108,13 @@ def window_features(samples: DataFrame, window_ms: int, by: tuple[str, ...] = ("
 def ewma(samples: DataFrame, alpha: float = ALPHA, window_ms: int | None = None) -> DataFrame:
     """node_id, metric, ewma: the exponentially weighted mean in order of arrival, seeded by the first value.
 
-    A series' values are folded in one task; pass a window to bound how many these are.
+    A value's weight follows from how many come after it, so that the rest is one sum for each series.
     """
     if window_ms is not None:
         last = samples.groupBy("node_id", "metric").agg(F.max("physical_ms").alias("end_ms"))
         samples = samples.join(last, ["node_id", "metric"]).where(F.col("physical_ms") >= F.col("end_ms") - window_ms)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("arrival", "value"))), lambda x: x["value"])
-    folded = F.aggregate(F.slice("values", 2, F.greatest(F.size("values"), F.lit(1))), F.element_at("values", 1), lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a)
-    return samples.groupBy("node_id", "metric").agg(ordered.alias("values")).select("node_id", "metric", folded.alias("ewma"))
+    placed = earlier(samples, ["node_id", "metric"], "arrival", {"place": ("sum", F.lit(1).cast("long"))}).withColumn("place", F.coalesce("place", F.lit(0).cast("long")))
+    size = samples.groupBy(F.col("node_id").alias("size_node"), F.col("metric").alias("size_metric")).agg(F.count("*").alias("size"))
+    sized = placed.join(size, F.col("node_id").eqNullSafe(F.col("size_node")) & F.col("metric").eqNullSafe(F.col("size_metric")))
+    weight = F.pow(F.lit(1 - alpha), F.col("size") - 1 - F.col("place")) * F.when(F.col("place") == 0, 1.0).otherwise(alpha)
+    return sized.groupBy("node_id", "metric").agg(F.sum(F.col("value") * weight).alias("ewma"))

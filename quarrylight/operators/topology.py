@@ -38,25 +38,28 @@ def failure_domain(nodes: DataFrame, active: DataFrame, wanted: DataFrame) -> Da
 def dependency_chains(active: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """start, hop, node: the first DEPENDS_ON edge of each node, followed `most` times at most (cycles repeat)."""
     first = active.where(F.col("edge_type") == DEPENDS_ON).groupBy("src").agg(F.min_by("dst", "seq").alias("dst"))
-    at = starts.select("start", F.col("start").alias("node"))
-    out = None
-    for hop in range(1, most + 1):
-        at = at.join(first, at["node"] == first["src"]).select("start", F.col("dst").alias("node"))
-        step = at.select("start", F.lit(hop).alias("hop"), "node")
-        out = step if out is None else out.unionByName(step)
-    return out
+    # one chain of joins that carries the path, of at most `most` nodes
+    at = starts.select("start", F.col("start").alias("node"), F.array().cast("array<string>").alias("path"))
+    for _ in range(most):
+        at = at.join(first, at["node"] == first["src"], "left").select("start", F.col("dst").alias("node"), F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("dst"))).alias("path"))
+    return at.select("start", F.posexplode("path").alias("hop", "node")).select("start", (F.col("hop") + 1).alias("hop"), "node")
 
 
 def dependencies(active: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """start, node, hop: everything that a start depends on, over all edges, with the fewest hops."""
     links = active.where(F.col("edge_type") == DEPENDS_ON).select("src", "dst").distinct()
-    at = starts.select("start", F.col("start").alias("node"))
-    found = None
+    found = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct()
+    back = None
     for hop in range(1, most + 1):
-        at = at.join(links, at["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct()
-        step = at.withColumn("hop", F.lit(hop))
-        found = step if found is None else found.unionByName(step)
-    return found.groupBy("start", "node").agg(F.min("hop").alias("hop"))
+        # only what the last hop reached for the first time goes on, so cycles come to an end
+        at = found.where(F.col("hop") == hop - 1)
+        ahead = at.join(links, at["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct()
+        known = found.select(F.col("start").alias("s"), F.col("node").alias("n"))
+        new = ahead.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")), "left_anti")
+        again = ahead.where(F.col("start") == F.col("node")).withColumn("hop", F.lit(hop))  # the way back to a start
+        back = again if back is None else back.unionByName(again)
+        found = found.unionByName(new.withColumn("hop", F.lit(hop))).persist()
+    return found.where("hop > 0").unionByName(back.groupBy("start", "node").agg(F.min("hop").alias("hop")))
 
 
 def affected(active: DataFrame, nodes: DataFrame) -> DataFrame:

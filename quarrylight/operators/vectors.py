@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors up to which exact search broadcasts them; more are cut into such portions.
 QUERIES_AT_ONCE = 1000
+#: Vectors that are multiplied with the queries at once.
+ROWS_AT_ONCE = 4096
 
 
 def doubles(v: Column) -> Column:
@@ -46,28 +51,80 @@ def upserted(vectors: DataFrame, order: str) -> DataFrame:
     return vectors.groupBy("vec_id").agg(F.max_by("embedding", order).alias("embedding"))
 
 
+def _best(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least of each column; ties by id. Distances are told apart to 12 digits."""
+    n = min(k, len(distance))
+    least = np.partition(distance, n - 1, axis=0)[n - 1]
+    row, column = np.nonzero(distance <= least)
+    order = np.lexsort((ids[row], distance[row, column], column))
+    row, column = row[order], column[order]
+    place = np.arange(len(column)) - np.searchsorted(column, column)
+    return row[place < k], column[place < k]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, vec_id, distance, rank: the k nearest vectors of each query, ties by vec_id.
 
-    `queries` (query_id, query) is a stated set: a block of it is broadcast, each task keeps the k best
-    of its rows for every query, and only these are shuffled and ranked.
+    `queries` (query_id, query) is a stated set: portions of it are broadcast as a matrix. Each batch of
+    vectors is multiplied with it and each task keeps the k best rows of each query; only these travel.
     """
-    n = queries.count()
-    portions = max(1, -(-n // QUERIES_AT_ONCE))
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((vectors, "vec_id"), (queries, "query_id"))}
+    out, portions = None, max(1, -(-queries.count() // QUERIES_AT_ONCE))
     keyed = queries.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
-    out = None
+
+    def prepared(rows: np.ndarray) -> np.ndarray:
+        size = (rows * rows).sum(1)
+        return rows / np.sqrt(np.where(size <= 1e-12, 1.0, size))[:, None] if metric == "cosine" else rows
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return prepared(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+    def searching(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, asked = shared.value
+            found = []  # ids, columns, distances of the best so far
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(at, ROWS_AT_ONCE)
+                    part = part.filter(part.column(1).is_valid())
+                    if not part.num_rows:
+                        continue
+                    v, ids = matrix(part.column(1)), part.column(0).to_numpy()
+                    d = v @ asked.T
+                    d = 1.0 - d if metric == "cosine" else -d if metric == "dot" else (v * v).sum(1)[:, None] + (asked * asked).sum(1) - 2 * d
+                    d = d.round(12)
+                    row, column = _best(d, ids, k)
+                    found.append((ids[row], column, d[row, column]))
+                    if len(found) > 16:
+                        found = [_kept(found, k)]
+            if found:
+                ids, column, d = _kept(found, k)
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(column)), pa.array(ids), pa.array(d)], ["query_id", "vec_id", "distance"])
+
+        return run
+
     for portion in range(portions):
-        block = keyed.where(F.col("portion") == portion).select("query_id", normalised(F.col("query")).alias("query") if metric == "cosine" else "query")
-        v = normalised(F.col("embedding")) if metric == "cosine" else F.col("embedding")
-        near = vectors.select("vec_id", v.alias("v")).join(F.broadcast(block), F.lit(True)).select("query_id", "vec_id", distance(metric, F.col("v"), F.col("query")).alias("distance"))
-        near = near.withColumn("task", F.spark_partition_id())
-        inside = Window.partitionBy("query_id", "task").orderBy("distance", "vec_id")
-        kept = near.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= k).drop("place", "task")
-        out = kept if out is None else out.unionByName(kept)
+        block = keyed.where(F.col("portion") == portion).where(F.col("query").isNotNull()).select("query_id", F.col("query")).toArrow()
+        if not block.num_rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((block["query_id"].combine_chunks(), matrix(block["query"].combine_chunks())))
+        near = vectors.select("vec_id", "embedding").mapInArrow(searching(shared), f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, distance double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, distance double")
     over = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
+def _kept(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each column of several batches' bests."""
+    ids, column, d = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, d, column))
+    ids, column, d = ids[order], column[order], d[order]
+    own = np.arange(len(column)) - np.searchsorted(column, column) < k
+    return ids[own], column[own], d[own]
+
+
 def hyperplanes(dim: int, tables: int, bits: int, seed: int = 42) -> list[list[list[float]]]:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(6).tolist()
 
@@ -114,6 +171,12 @@ def scoped(vectors: DataFrame, query: list[float], k: int, predicate: Column, wa
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def recommendations(matches: DataFrame, generation: int, clock: Column, target_type: int) -> DataFrame:
+    """Recommendations from similar incidents (vec_id, score): target, its type, confidence, the generation and clock they rest on, and the match as evidence."""
+    evidence = F.struct(*[F.col(f"`{c}`") for c in matches.columns])
+    return matches.select(F.col("vec_id").alias("recommended_target_id"), F.lit(target_type).alias("target_type"), F.col("score").cast("double").alias("confidence"), F.lit(generation).cast("long").alias("based_on_generation"), clock.alias("based_on_clock"), evidence.alias("evidence"))
+
+
 def valid_vectors(vectors: DataFrame) -> Column:
     """Finite everywhere and not zero."""
     v = doubles(F.col("embedding"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight import model
 from quarrylight.operators import classify, federation, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
 from quarrylight.security import Caller, allowed, glob, holds, valid_scope_id
+from quarrylight.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,7 +151,7 @@ def bootstrap_apply(spark, sf_dir):
 @query(
     f"""WITH {REC}, l AS (SELECT object_id, arrival, coalesce(epoch < lag(epoch) OVER w, false) AS epoch_fell,
  coalesce(lag(arrival) OVER w IS NOT NULL AND row(generation, physical_ms, logical) <= row(lag(generation) OVER w, lag(physical_ms) OVER w, lag(logical) OVER w), false) AS version_fell,
- coalesce((lag(flags) OVER w & 1) = 1 AND (flags & 1) = 0, false) AS resurrected FROM rec WINDOW w AS (PARTITION BY object_id ORDER BY arrival)) SELECT * FROM l WHERE epoch_fell OR version_fell OR resurrected"""
+ coalesce((lag(flags) OVER w & 1) = 1 AND (flags & 1) = 0 AND (generation <= lag(generation) OVER w OR row(physical_ms, logical) <= row(lag(physical_ms) OVER w, lag(logical) OVER w)), false) AS resurrected FROM rec WINDOW w AS (PARTITION BY object_id ORDER BY arrival)) SELECT * FROM l WHERE epoch_fell OR version_fell OR resurrected"""
 )
 def feed_violations(spark, sf_dir):
     return identity.feed_violations(rec(spark, sf_dir))
@@ -255,9 +256,9 @@ def compartment_test(spark, sf_dir):
     return rec(spark, sf_dir).where(holds(F.col("sci"), 5)).select("event_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '.*1.')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '.*r.*i.g.*')")
 def glob_match(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(glob(F.col("p_name"), "*1?")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(glob(F.col("p_name"), "*r*i?g*")).select("p_partkey", "p_name")
 
 
 @query("SELECT s_suppkey, regexp_matches(s_name, '^[A-Za-z0-9._-]{1,63}$') AS is_valid FROM supplier")
@@ -528,6 +529,13 @@ def incident_topk(spark, sf_dir):
     return rows.where("score >= 0.2").select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query(f"WITH {_V}, {_ONE} SELECT vec_id AS recommended_target_id, round(list_dot_product(x, y), 5) AS confidence, CAST(7 AS BIGINT) AS based_on_generation FROM u, o ORDER BY list_dot_product(x, y) DESC, vec_id LIMIT 6")
+def incident_recommendations(spark, sf_dir):
+    matches = vectors.scoped(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 6, F.lit(True), 1, 1)
+    rows = vectors.recommendations(matches.select("vec_id", "score"), 7, F.lit(None).cast("struct<physical_ms:bigint,logical:bigint,node_id:bigint>"), 5)
+    return rows.select("recommended_target_id", F.round("confidence", 5).alias("confidence"), "based_on_generation")
+
+
 @query(f"WITH {_V}, {_ONE} SELECT vec_id, round(list_dot_product(x, y), 5) AS score FROM u, o WHERE vec_id % 4 = 1 AND (vec_id % 8 & -6) = 0 AND label <> 2 ORDER BY list_dot_product(x, y) DESC, vec_id LIMIT 8")
 def scoped_knn(spark, sf_dir):
     mine = (F.col("vec_id") % 4 == 1) & holds(F.col("vec_id") % 8, 5) & (F.col("label") != 2)
@@ -562,12 +570,12 @@ _GRAMS = "b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), g AS (SEL
 
 @query(f"WITH {_GRAMS} SELECT doc_id, gram FROM g")
 def trigram_postings(spark, sf_dir):
-    return text.postings(table(spark, sf_dir, "documents"))
+    return text.postings(table(spark, sf_dir, "documents")).select("doc_id", text.gram_hex(F.col("gram")).alias("gram"))
 
 
 @query(f"WITH {_GRAMS} SELECT gram, CAST(count(*) AS BIGINT) AS documents FROM g GROUP BY 1")
 def gram_frequency(spark, sf_dir):
-    return text.frequencies(text.postings(table(spark, sf_dir, "documents")))
+    return text.frequencies(text.postings(table(spark, sf_dir, "documents"))).select(text.gram_hex(F.col("gram")).alias("gram"), "documents")
 
 
 @query(f"WITH {_GRAMS}, f AS (SELECT count(*) AS n FROM g GROUP BY gram) SELECT CAST(count(*) AS BIGINT) AS unique_grams, CAST(sum(n) AS BIGINT) AS postings, CAST(max(n) AS BIGINT) AS longest FROM f")
@@ -625,6 +633,31 @@ def url_extract(spark, sf_dir):
     return text.urls(pages, "both", "page_id")
 
 
+_MAILS = "m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9._+-]+')) AS v FROM documents)"
+
+
+@query(f"WITH {_MAILS} SELECT doc_id, lower(v) AS value, CAST(count(*) AS BIGINT) AS n FROM m WHERE contains(split_part(v, '@', 2), '.') AND length(v) BETWEEN 6 AND 254 GROUP BY 1, 2")
+def mail_extract(spark, sf_dir):
+    """Addresses among the artifacts of all texts, how often each stands there."""
+    found = text.artifacts(table(spark, sf_dir, "documents")).where("kind = 'email'")
+    return found.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, octet_length(encode(substr(text, 1, 40))) >= 30 AS is_inside, CASE WHEN octet_length(encode(text)) > 10 THEN translate(regexp_replace(substr(text, 11, 5), '[^\\x20-\\x7e]', ' ', 'g'), '', '') END AS artifact FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[\\x00-\\x7f]*')")
+def model_context(spark, sf_dir):
+    """What a model is shown of five bytes at place 10, for texts that begin in ASCII."""
+    raw = F.encode("text", "UTF-8")
+    rows = table(spark, sf_dir, "documents").where(F.substring("text", 1, 40).rlike("^[\\x00-\\x7f]*$"))
+    return rows.select("doc_id", (F.octet_length(F.encode(F.substring("text", 1, 40), "UTF-8")) >= 30).alias("is_inside"), text.model_context(raw, F.lit(10), F.lit(5))["artifact"].alias("artifact"))
+
+
+@query("WITH i AS (SELECT c_custkey, unnest(regexp_extract_all(c_name || ' ' || c_custkey || ',-' || c_nationkey || ' 12345678901234567890', '([+-]?[0-9]+)', 1)) AS x FROM customer) SELECT c_custkey, CAST(x AS BIGINT) AS key FROM i WHERE length(regexp_replace(x, '^[+-]', '')) <= 19")
+def text_integers(spark, sf_dir):
+    """The integers of a text member."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_name"), F.lit(" "), F.col("c_custkey").cast("string"), F.lit(",-"), F.col("c_nationkey").cast("string"), F.lit(" 12345678901234567890")).alias("t"))
+    return rows.select("c_custkey", F.explode(files.integers(F.col("t"))).alias("key"))
+
+
 @query("SELECT doc_id, regexp_replace(array_slice(string_split(substr(text, greatest(50 - 20, 1), 50 - greatest(50 - 20, 1)), chr(10)), -1, -1)[1] || string_split(substr(text, 50, 40), chr(10))[1], '[^\\x20-\\x7e]', ' ', 'g') AS context FROM documents")
 def clean_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.context(F.col("text"), F.lit(50), 20, 40).alias("context"))
@@ -735,10 +768,19 @@ def exact_fanout(spark, sf_dir):
     return identity.merged(rows).select("object_id", "epoch", "generation")
 
 
-@query()
+def _crc(start: int) -> str:
+    step = "CASE WHEN (r & 32768) <> 0 THEN xor((r << 1) & 65535, 4129) ELSE (r << 1) & 65535 END"
+    return f"list_reduce(b, lambda c, x: list_reduce(range(0, 8), lambda r, i: {step}, xor(c, x << 8)), CAST({start} AS BIGINT)) & 16383"
+
+
+@query(
+    f"""WITH h AS (SELECT c_custkey, hex(encode(c_mktsegment)) AS h FROM customer), b AS (SELECT c_custkey, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM h),
+ s AS (SELECT c_custkey, {_crc(65535)} AS slot, {_crc(0)} AS plain_slot FROM b) SELECT c_custkey, CAST(slot AS INTEGER) AS slot, slot * 5 // 16384 AS node, CAST(plain_slot AS INTEGER) AS plain_slot, least(plain_slot // 3276, 4) AS even_node FROM s"""
+)
 def slot_route(spark, sf_dir):
-    s = federation.slot(F.col("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("slot"), federation.slot_node(s, 5).alias("node"))
+    """Slots and nodes by both rules."""
+    s, plain = federation.slot(F.col("c_mktsegment")), federation.slot(F.col("c_mktsegment"), 0)
+    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("slot"), federation.slot_node(s, 5).alias("node"), plain.alias("plain_slot"), federation.slot_node_even(plain, 5).alias("even_node"))
 
 
 @query(

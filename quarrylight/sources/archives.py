@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quarrylight.security import glob
 from quarrylight.sources.files import keys_of
 
-#: Largest member that is read.
+#: Largest member whose content is read; of larger ones the row has none.
 MEMBER_BYTES = 500 << 20
-MEMBERS = "archive string, place long, member string, content binary"
+MEMBERS = "archive string, place long, member string, size long, content binary"
 
 
 def _unpacked(path: str, content: bytes):
@@ -33,19 +33,25 @@ def _members(batches: Iterator) -> Iterator:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             with _unpacked(path, content) as tar:
                 for place, info in enumerate(x for x in tar):
-                    if info.isfile() and info.size <= MEMBER_BYTES:
+                    if info.isfile():
+                        content = tar.extractfile(info).read() if info.size <= MEMBER_BYTES else None
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([path]), pa.array([place], pa.int64()), pa.array([info.name]), pa.array([tar.extractfile(info).read()], pa.binary())],
-                            ["archive", "place", "member", "content"],
+                            [pa.array([path]), pa.array([place], pa.int64()), pa.array([info.name]), pa.array([info.size], pa.int64()), pa.array([content], pa.binary())],
+                            ["archive", "place", "member", "size", "content"],
                         )
 
 
 def members(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
-    """archive, place, member, content. Archives are read by Spark's own reader, so any of its file systems will do."""
+    """archive, place, member, size, content (null for a member over MEMBER_BYTES: see `left_out`). Archives are read by Spark's own reader, so any of its file systems will do."""
     archives = spark.read.format("binaryFile").load(paths).select("path", "content")
     return archives.mapInArrow(_members, MEMBERS).where(glob(F.col("member"), pattern))
 
 
+def left_out(archived: DataFrame) -> DataFrame:
+    """Members that are too large to be read."""
+    return archived.where(F.col("content").isNull()).select("archive", "member", "size")
+
+
 def member_keys(archived: DataFrame, skip_header: bool = False) -> DataFrame:
     """archive, member, key, ordinal: the integers of each member in ascending order."""
     text = F.decode("content", "UTF-8")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.operators.identity import latest
+from quarrylight.operators.identity import feed_violations, latest
+from quarrylight.sources.generations import Publication, row_sums
 
 #: Fixed value: a jump of offsets from which a consumer records a gap.
 GAP = 1024
@@ -61,6 +63,52 @@ def applied(feed: DataFrame) -> DataFrame:
     return latest(once, "object_id", ("epoch", "generation", "physical_ms", "logical", "offset"))
 
 
+#: Objects, events and bytes of payload up to which a staged state is taken.
+MOST_OBJECTS, MOST_BYTES = 1_000_000, 1 << 30
+
+
+def strictly_applied(feed: DataFrame, most_objects: int = MOST_OBJECTS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """As `applied`, with tombstones' payloads left out; raises at the first thing that a feed must not do.
+
+    That is an event id with two contents, an object whose resource, epoch, version or resurrection is out
+    of order, more objects than `most_objects`, more events than four times as many, or more bytes of payload.
+    """
+    if not (again := conflicting(feed)).isEmpty():
+        raise ValueError(f"same event id has conflicting content: {again.first()[0]}")
+    once = feed.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in feed.columns if c != "event_id"]), "offset").alias("e")).select("event_id", "e.*")
+    if not (bad := feed_violations(once.withColumn("arrival", F.col("offset")))).isEmpty():
+        row = bad.orderBy("arrival").first().asDict()
+        raise ValueError(f"object {row['object_id']} at offset {row['arrival']}: {', '.join(n for n, v in row.items() if v is True)}")
+    state = applied(feed).withColumn("payload", F.when(F.col("flags").bitwiseAND(F.lit(1)) != 0, "").otherwise(F.col("payload")))
+    n_events, (n_objects, n_bytes) = once.count(), state.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
+    if n_objects > most_objects or n_events > 4 * most_objects or n_bytes > most_bytes:
+        raise ValueError(f"too much to stage: {n_objects} objects, {n_events} events, {n_bytes} bytes")
+    return state
+
+
+#: Events of a page at most.
+PAGE = 128
+
+
+def consume_once(publication: Publication, read_page: Callable[[int, int], tuple[int, DataFrame]], project: Callable[[DataFrame], dict[str, DataFrame]], acknowledge: Callable[[int], int], limit: int = PAGE) -> int:
+    """Reads the page after the published cursor, checks it, publishes what it projects to, and only then acknowledges; the new cursor.
+
+    `read_page(after, limit)` gives the next cursor and the events (with a column cursor) in order of their
+    `place`. Cursors must rise strictly, from after the published one up to the next one.
+    """
+    latest_generation = publication.open_latest()
+    generation = latest_generation[0] if latest_generation else 0
+    after = publication.manifest(generation)["cursor"] if latest_generation else 0
+    to, page = read_page(after, limit)
+    cursors = [r["cursor"] for r in page.orderBy("place").select("cursor").limit(limit + 1).collect()]  # a page is bounded
+    if to < after or len(cursors) > limit or any(c is None or not a < c <= to for a, c in zip([after, *cursors], cursors)):
+        raise ValueError(f"the page after {after} up to {to} is out of order: {cursors}")
+    publication.publish(generation + 1, to, **project(page))
+    if acknowledge(to) != to:
+        raise ValueError(f"cursor {to} wasn't acknowledged")
+    return to
+
+
 def gaps(feed: DataFrame, by: str = "tenant_id", most: int = GAP) -> DataFrame:
     """Places of each tenant's log where offsets jump by more than `most`."""
     before = F.lag("offset").over(Window.partitionBy(by).orderBy("offset"))
@@ -89,11 +137,9 @@ def verified_payloads(objects: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def seal(entries: DataFrame, watermark: int, key: bytes) -> str:
-    """HMAC of a table's rows and its watermark, whatever the order of the rows."""
-    row = F.sha2(F.to_json(F.struct(*sorted(entries.columns))), 256)
-    halves = [F.coalesce(F.bit_xor(F.conv(F.substring(row, i, 15), 16, 10).cast("long")), F.lit(0)) for i in (1, 16, 31, 46)]
-    figures = entries.agg(F.count("*"), *halves).first()
-    return hmac.new(key, repr((watermark, *figures)).encode(), hashlib.sha256).hexdigest()
+    """HMAC of a table's rows and its watermark, whatever the order of the rows; rows are hashed with a key of their own, so sums can't be made up."""
+    rows = row_sums(entries, hmac.new(key, b"rows", hashlib.sha256).hexdigest()).first()
+    return hmac.new(key, repr((watermark, rows["n"], rows["sums"])).encode(), hashlib.sha256).hexdigest()
 
 
 def unsealed(entries: DataFrame, watermark: int, key: bytes, proof: str) -> DataFrame:

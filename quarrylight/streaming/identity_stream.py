@@ -23,7 +23,7 @@ def decide(rows: pd.DataFrame, fence: int, seen: dict) -> tuple[list[str], int]:
             out.append("CORRUPT")
         elif epoch < fence:
             out.append("STALE_FENCING_EPOCH")
-        elif event in seen:
+        elif event in seen and str(event) != model.NIL_ID:
             out.append("DUPLICATE")
         else:
             fence = max(fence, epoch)

@@ -45,3 +45,48 @@ def test_seals(spark):
     for other, watermark, key in ((a.limit(1), 5, b"key"), (a, 6, b"key"), (a, 5, b"other")):
         with pytest.raises(ValueError):
             feed.unsealed(other, watermark, key, proof)
+
+
+def test_equal_rows_count_in_seals_and_digests(spark):
+    from quarrylight.sources import generations
+
+    def rows(*names):
+        return spark.createDataFrame([(n,) for n in names], "t string")
+
+    real, forged = rows("a", "a", "z"), rows("forged", "forged", "z")
+    assert feed.seal(real, 5, b"key") != feed.seal(forged, 5, b"key") != feed.seal(rows("z"), 5, b"key")
+    digests = [tuple(generations.digest(t).first()) for t in (real, forged, rows("z", "a", "a"), rows("z"))]
+    assert digests[0] == digests[2] and len(set(digests)) == 3
+
+
+def test_strict_application(spark):
+    good = [row(1, "e1", 1), row(2, "e1", 1), row(3, "e2", 2, flags=1), row(4, "e3", 3), row(5, "e4", 1, obj="o2")]
+    events = spark.createDataFrame(good, feed.SCHEMA)
+    assert {r["object_id"]: r["generation"] for r in feed.strictly_applied(events).collect()} == {"o1": 3, "o2": 1}
+    dead = feed.strictly_applied(spark.createDataFrame(good[:3], feed.SCHEMA)).first()
+    assert dead["flags"] == 1 and dead["payload"] == ""
+    bad = {"conflicting content": row(9, "e2", 7), "version_fell": row(9, "e9", 2), "resurrected": row(9, "e9", 9, obj="o3", ms=5)}
+    for message, more in bad.items():
+        rows = [*good, row(8, "e8", 8, flags=1, obj="o3", ms=50), more]
+        with pytest.raises(ValueError, match=message):
+            feed.strictly_applied(spark.createDataFrame(rows, feed.SCHEMA))
+    with pytest.raises(ValueError, match="too much"):
+        feed.strictly_applied(events, most_objects=1)
+
+
+def test_consume_once(spark, tmp_path):
+    from quarrylight.sources.generations import Publication
+
+    publication, told = Publication(spark, str(tmp_path / "published")), []
+
+    def consume(cursors, to):
+        def page(after, limit):
+            return to, spark.createDataFrame([(i, c) for i, c in enumerate(cursors)], "place long, cursor long")
+
+        return feed.consume_once(publication, page, lambda p: {"events": p}, lambda c: told.append(c) or c)
+
+    assert consume([3, 5], 6) == 6 and consume([7], 7) == 7 and told == [6, 7]
+    for cursors, to in (([7, 8], 8), ([9, 9], 9), ([8, 12], 11), ([], 3)):
+        with pytest.raises(ValueError, match="out of order"):
+            consume(cursors, to)
+    assert told == [6, 7] and publication.open_latest()[0] == 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import model
 from quarrylight.operators import classify, federation, identity, keys, planner, telemetry, text, timeline, topology, vectors, workflow
+from quarrylight.operators.ranges import earlier
 from quarrylight.security import Caller, allowed, glob, valid_scope
 from quarrylight.streaming import identity_stream, telemetry_stream
 
@@ -14,7 +15,7 @@ INGEST = "arrival long, event_id long, generation long, epoch long, physical_ms
 def test_ingest_statuses(spark):
     rows = [(1, 1, 1, 9, 1000, 4), (2, 1, 1, 10, 1000, 4), (3, 1, 1, 10, 1000, 4), (4, 2, 2, 12, 1100, 4), (5, 3, 3, 12, 1200, 1), (6, 4, 2, (1 << 62) + 1, 0, 0), (8, 5, 1000, 12, 0, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], INGEST)
-    got = [r["status"] for r in identity.ingest_status(df, start_epoch=10).orderBy("arrival").collect()]
+    got = [r["status"] for r in identity.ingest_status(df, "tenant_id", start_epoch=10).orderBy("arrival").collect()]
     assert got == ["STALE_FENCING_EPOCH", "OK", "DUPLICATE", "OK", "TOMBSTONE_APPLIED", "CORRUPT", "OK"]
 
 
@@ -25,6 +26,97 @@ def test_a_duplicate_with_a_higher_epoch_leaves_the_fence(spark):
     assert identity_stream.decide(rows, 0, {})[0] == ["OK", "DUPLICATE", "OK"]
 
 
+def test_batch_statuses_are_those_of_record_after_record(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(7)
+    rows = [(i, rng.randint(0, 60), 1, rng.choice([1, 1, 2, 3, 5 + i // 60, (1 << 62) + 1]), 0, rng.choice([0, 1]), rng.choice([1, 1, 1, 2])) for i in range(400)]
+    got = {r["arrival"]: r["status"] for r in identity.ingest_status(spark.createDataFrame(rows, INGEST), "tenant_id").collect()}
+    for tenant in (1, 2):
+        own = pd.DataFrame([r for r in rows if r[6] == tenant], columns=[c.split()[0] for c in INGEST.split(", ")])
+        assert [got[a] for a in own["arrival"]] == identity_stream.decide(own, 0, {})[0]
+    assert set(got.values()) == {"CORRUPT", "STALE_FENCING_EPOCH", "DUPLICATE", "TOMBSTONE_APPLIED", "OK"}
+
+
+def test_running_figures_of_a_hot_series(spark):
+    rows = [("hot" if i % 10 else None, (i * 37) % 1000, float(i % 7)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, at long, v double").repartition(7)
+    got = earlier(df, ["k"], "at", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}).collect()
+    want = {}
+    for k in ("hot", None):
+        total, most = None, None
+        for _, at, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            want[k, at] = (total, most)
+            total, most = (total or 0) + v, max(most or 0, v)
+    assert {(r["k"], r["at"]): (r["s"], r["m"]) for r in got} == want
+    assert not earlier(df.where("at < 0"), ["k"], "at", {"s": ("sum", F.col("v"))}).count()
+    samples = spark.createDataFrame([(1, "m", i, float(i % 5), i) for i in range(50)], "node_id long, metric string, physical_ms long, value double, arrival long")
+    folded = 0.0
+    for i in range(50):
+        folded = 0.2 * (i % 5) + 0.8 * folded if i else 0.0
+    assert abs(telemetry.ewma(samples).first()["ewma"] - folded) < 1e-9
+
+
+def test_object_ids(spark):
+    def fnv(h, data):
+        for b in data:
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        return h
+
+    rows = [(1, "abc"), (1, ""), (70000, "é" * 40), (2, "abc"), (None, "x"), (3, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t long, r string").select(model.object_id(F.col("t"), F.col("r"))).collect()]
+    for (t, r), value in zip(rows[:4], got):
+        raw = b"DIRECTEYE-CANONICAL-v1" + t.to_bytes(4, "big") + r.encode()
+        a, b = (fnv(start, raw) for start in (14695981039346656037, 7809847782465536322))
+        a, b = a & ~(0xF << 12) | 5 << 12, b & ((1 << 62) - 1) | 1 << 63
+        text = f"{a:016x}{b:016x}"
+        assert value == "-".join((text[:8], text[8:12], text[12:16], text[16:20], text[20:]))
+    assert got[4:] == [None, None]
+
+
+def test_artifacts(spark):
+    cases = {
+        "Mail A.b@C.org:Pa$s|x http://us@host.io:8/x?Q rest": [("email", 5, "a.b@c.org"), ("password", 15, "Pa$s"), ("url", 22, "http://us"), ("email", 29, "us@host.io"), ("password", 40, "8/x?Q")],
+        "a@b@c.de": [("email", 2, "b@c.de")],
+        "é x@y.zz;": [("email", 3, "x@y.zz")],
+        "http HTTPS://A.b @.c a@b": [("url", 5, "https://a.b")],
+        "": [],
+    }
+    docs = spark.createDataFrame(list(enumerate([*cases, None])), "doc_id long, text string")
+    got = text.artifacts(docs).collect()
+    for i, want in enumerate(cases.values()):
+        assert [(r["kind"], r["byte_offset"], r["value"]) for r in got if r["doc_id"] == i] == want
+    raw = spark.createDataFrame([(b"0123456789abc\ndef",), (b"x" * 300 + b"HIT" + b"y" * 300,), (b"ab",)], "r binary")
+    shown = [r[0] for r in raw.select(text.model_context(F.col("r"), F.lit(11), F.lit(2))).collect()]
+    assert tuple(shown[0]) == ("bc", "0123456789a", " def", True) and shown[2] is None
+    wide = raw.select(text.model_context(F.col("r"), F.lit(300), F.lit(3))).collect()[1][0]
+    assert wide["artifact"] == "HIT" and len(wide["pre"]) == len(wide["post"]) == 255 and not wide["is_truncated"]
+
+
+def test_nearest_is_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(20)] + [(900, None), (901, [0.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = table.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    x = {i: np.array(v) for i, v in rows if v is not None}
+    for metric in ("cosine", "l2", "dot"):
+        def far(a, b):
+            if metric == "l2":
+                return ((a - b) ** 2).sum()
+            unit = [v / np.linalg.norm(v) if metric == "cosine" and v.any() else v for v in (a, b)]
+            return 1 - unit[0] @ unit[1] if metric == "cosine" else -(a @ b)
+
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.nearest(table, asked, 4, metric).collect()}
+        for q in range(10):
+            assert [got[q, k] for k in (1, 2, 3, 4)] == [i for _, i in sorted((round(float(far(x[i], x[q])), 9), i) for i in x)[:4]]
+    assert vectors.nearest(table, asked.where("query_id < 0"), 4).count() == 0
+
+
 TIMES = "physical_ms long, logical long, node_id long, object_id long, flags long, arrival long"
 
 
