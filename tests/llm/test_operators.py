@@ -103,6 +103,48 @@ def test_ngram_classes(docs, rows, block_bytes):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == {d: (len(sets[d]), root(d)) for d in ids}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test data isn't here")
+def test_ngram_classes_are_those_of_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.SQL["op1_ngram_jaccard"])
+    got = queries.op1_ngram_jaccard(spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_the_trie_finds_what_brute_force_finds():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for two in [False, True] * 15:
+        base = [np.unique(rng.integers(0, 400, rng.integers(5, 60)).astype(np.uint64)) for _ in range(6)]
+        sets = []
+        for _ in range(60):
+            b = base[rng.integers(0, 6)]
+            kept = b[rng.random(len(b)) > rng.choice([0, 0.03, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(400, 440, rng.integers(0, 4)).astype(np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        sizes = [len(s) + int(rng.integers(0, 3)) for s in sets]  # some shingles that a set has alone
+        side = rng.integers(0, 2, len(sets)).tolist()
+        want, got = ngram_join.Forest(len(sets)), ngram_join.Forest(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and 5 * both >= 4 * (sizes[i] + sizes[j] - both) and (not two or side[i] != side[j]):
+                    want.union(i, j)
+        for i, j in ngram_join.join_sets(sets, sizes, side if two else None):
+            got.union(i, j)
+        assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
+def test_small_blocks_chain_across_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST_BYTES", 1 << 40)
+    whole = table(ngram_join.classes(docs))
+    monkeypatch.setattr(blocks, "LEAST_BYTES", 3_000)
+    assert table(ngram_join.classes(docs, 3_000)) == whole
+
+
 def test_large_components_are_split_without_loss(docs, monkeypatch):
     whole = table(ngram_join.classes(docs))
     monkeypatch.setattr(ngram_join, "TASK_BYTES", 20_000)
@@ -228,6 +270,8 @@ def test_ogg(docs, rows):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         r = got[d]
+        file = ogg.write(raw)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest()) and r["feature"]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
@@ -411,6 +455,33 @@ def test_clashing_columns_are_kept(spark, monkeypatch):
     assert {r["doc_id"] for r in ngram_join.representatives(docs).collect()} == {0, 3, 4, 5}
 
 
+def test_null_ids_repeated_rows_and_more_columns(spark):
+    text = "one two three mail me@mail.example.com four five six seven " * 8
+    rows = [(7, text), (7, text), (None, text), (None, None), (8, "")]
+    docs = frame(spark, rows).withColumn("tree", F.lit(1)).withColumn("n_tokens", F.lit(1)).withColumn("kn_perplexity", F.lit(1)).withColumn("spans", F.lit("x"))
+    path = queries.tokenizer()
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, None), (None, 1)], "doc_id long, quality int")
+    judged = quality_rules.judge(docs, [])
+    runs = {
+        "op2": (ogg.round_trip(docs), ["payload_sha256", "media_sha256", "feature"]),
+        "op3": (pii.find(docs), ["n_email", "base_sha256", "spans"]),
+        "op4": (judged, ["stat_n_words", "stat_n_repeat_words", "stat_base_failed", "stat_kept"]),
+        "op6": (word_bpe.digests(docs, path), ["n_tokens", "ids_sha256"]),
+        "op7": (hmm.score(docs), ["n_tokens", "n_known", "base_score"]),
+        "op8": (token_counts.count(docs, token_counts.sample_edits(F.lit(1), F.col("text")), path), ["n_tokens", "n_tokens_edited"]),
+        "op10": (kneser_ney.classify(docs, labels), ["n_symbols", "perplexity"]),
+    }
+    for name, (out, columns) in runs.items():
+        got = collections.defaultdict(list)
+        for r in out.collect():
+            got[r["doc_id"]].append(tuple(r[c] for c in columns))
+        assert sorted(map(len, got.values())) == [1, 2, 2] and got[7][0] == got[7][1], name
+        assert got[7][0] in got[None] and got[8][0] in got[None], name  # null text counts as empty
+    assert {(r["doc_id"], r["stat_base_failed"]) for r in judged.collect()} == {(7, True), (None, True), (8, True)}
+    packed = packing.pack_documents(docs, path).collect()
+    assert sorted(str(p["doc_id"]) for p in packed) == ["7", "7", "8", "None", "None"] and len({(p["sequence_id"], p["offset"]) for p in packed}) == 5
+
+
 def test_learned_rules_find_what_they_were_shown(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["tree", "house", "river", "stone", "cloud"]) + str(rng.randint(0, 999)) + (" #%" if i % 3 == 0 else "") for _ in range(80))) for i in range(600)]
@@ -671,7 +742,7 @@ def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = table(docs)
-    after = corpus_pipeline.quality(spark, docs, sf)
+    after = corpus_pipeline.quality(spark, docs, sf).persist()
     assert after.columns == docs.columns
     unique = corpus_pipeline.near_duplicates(spark, after, sf).persist()
     ids = {r["doc_id"] for r in unique.select("doc_id").collect()}
@@ -684,3 +755,9 @@ def test_pipeline_stages(spark):
     clean = corpus_pipeline.personal_data(spark, cut, sf)
     assert not any(brute_spans(r["text"] or "") for r in clean.collect())
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, clean, sf).collect()} == ids
+    whole = corpus_pipeline.run(spark, sf)
+    assert whole.columns[-2:] == ["sequence_id", "offset"] and {r["doc_id"] for r in whole.collect()} == ids
+    empty = docs.where("doc_id is null")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0
