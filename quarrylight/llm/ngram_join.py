@@ -12,9 +12,9 @@
    for all sets below, and a subtree is left when the overlap and what remains of either side can't
    reach the bound, or when all below is known to be connected with the set.
 5. A component larger than a task is first joined in parts, dealt twice at random, which connects
-   large groups of near copies. What is left are pairs of different groups: these are joined by the
-   prefix shingles that sets of different groups share, the sets of a shingle's largest group in
-   parts, each with the sets of its other groups, which alone are paired among themselves.
+   large groups of near copies. What is left are pairs of different groups: parts of the component's
+   largest group are joined with the sets of other groups that share a prefix shingle with it, and
+   these among themselves by the prefix shingles that they share.
 6. The links' components, and the smallest doc_id in each, are the result.
 
 Results: one row for each row of the input. Null and empty texts, and texts without words, have
@@ -282,27 +282,42 @@ def _prefix_entries(batches):
 
 
 def _between_groups(sets: DataFrame) -> DataFrame:
-    """task, side, node: who is to be compared with whom among sets (node, n, data, known) of different known groups.
+    """task, side, node: who is to be compared with whom among sets (node, n, data, label, known) of different known groups.
 
-    A prefix shingle's sets are those of its largest group and the others. The others are cut into parts,
-    all pairs of which are tasks, as are all pairs of them with parts of the largest group.
+    Sets of a component's largest group and the others are compared if they share a prefix shingle at all,
+    in parts, each of them sent once for a part of the others. The others are compared among themselves by
+    prefix shingle, in pairs of parts; of shingles that the very same sets have, one will do.
     """
-    entries = sets.select("node", "n", "data").mapInArrow(_prefix_entries, "node long, value long").join(sets.select("node", "known", F.octet_length("data").alias("weight")), "node")
-    by_group = entries.groupBy("value", "known").agg(F.sum("weight").alias("weight"))
-    shared = by_group.groupBy("value").agg(F.count("*").alias("groups"), F.max_by("known", F.struct("weight", "known")).alias("largest"), F.sum("weight").alias("all"), F.max("weight").alias("most")).where("groups > 1")
+    rows = sets.select("node", "label", "known", F.octet_length("data").cast("long").alias("weight"))
+    sums = rows.groupBy("label", "known").agg(F.sum("weight").alias("weight"))
+    largest = sums.groupBy("label").agg(F.max_by("known", F.struct("weight", "known")).alias("largest"))
+    marked = rows.join(largest, "label").select("node", "label", "known", "weight", (F.col("known") == F.col("largest")).alias("major"))
+    entries = sets.select("node", "n", "data").mapInArrow(_prefix_entries, "node long, value long").join(marked, "node")
 
     def parts(weight):
-        return F.ceil(2 * weight / TASK_BYTES).cast("int")
+        return F.greatest(F.lit(1), F.ceil(2 * weight / TASK_BYTES)).cast("int")
 
-    dealt = entries.join(shared.select("value", "largest", parts(F.col("most")).alias("parts"), parts(F.col("all") - F.col("most")).alias("others")), "value")
-    is_largest = F.col("known") == F.col("largest")
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.when(is_largest, F.col("parts")).otherwise(F.col("others"))).cast("int")
-    dealt = dealt.select("node", "value", "parts", "others", is_largest.alias("is_largest"), part.alias("part"))
-    first, to_last = F.lit(0), F.col("others") - 1
-    of_largest = dealt.where("is_largest").select("node", F.lit(1).alias("side"), F.explode(F.sequence(first, to_last)).alias("a"), F.col("part").alias("c"), "value").select("node", "side", F.xxhash64("value", "a", F.lit(-1), "c").alias("task"))
-    against = dealt.where("not is_largest").select("node", F.explode(F.sequence(first, F.col("parts") - 1)).alias("c"), F.col("part").alias("a"), "value").select("node", F.lit(0).alias("side"), F.xxhash64("value", "a", F.lit(-1), "c").alias("task"))
-    pairs = dealt.where("not is_largest").select("node", F.explode(F.sequence(first, to_last)).alias("b"), "part", "value").select("node", (F.col("part") > F.col("b")).cast("int").alias("side"), F.xxhash64("value", F.least("part", "b"), F.greatest("part", "b")).alias("task"))
-    return of_largest.unionByName(against).unionByName(pairs)
+    def part(n, seed: int):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+
+    def upto(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    both = entries.groupBy("label", "value").agg(F.count_if("major").alias("a"), F.count_if(~F.col("major")).alias("b")).where("a > 0 and b > 0")
+    touching = entries.join(both.select("label", "value"), ["label", "value"], "left_semi").select("node", "label", "major", "weight").distinct()
+    size = touching.groupBy("label").agg(parts(F.sum(F.when(F.col("major"), F.col("weight")))).alias("majors"), parts(F.sum(F.when(~F.col("major"), F.col("weight")))).alias("minors"))
+    dealt = touching.join(size, "label")
+    of_major = dealt.where("major").select("node", "label", upto(F.col("minors")).alias("a"), part(F.col("majors"), 3).alias("c"), F.lit(1).alias("side"))
+    of_minor = dealt.where("not major").select("node", "label", part(F.col("minors"), 3).alias("a"), upto(F.col("majors")).alias("c"), F.lit(0).alias("side"))
+    against = of_major.unionByName(of_minor).select("node", "side", F.xxhash64("label", "a", F.lit(-1), "c").alias("task"))
+
+    others = entries.where("not major")
+    alike = [F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (4, 5)]
+    by_value = others.groupBy("label", "value").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.sum("weight").alias("weight"), F.count("*").alias("sets"), *alike).where("low <> high")
+    chosen = by_value.groupBy("label", "sets", "sum4", "sum5").agg(F.min("value").alias("value"), parts(F.max("weight")).alias("parts")).select("label", "value", "parts")
+    mine = others.join(chosen, ["label", "value"]).select("node", "label", "value", "parts", part(F.col("parts"), 6).alias("a"))
+    among = mine.select("node", "label", "value", "a", upto(F.col("parts")).alias("c")).select("node", (F.col("a") > F.col("c")).cast("int").alias("side"), F.xxhash64("label", "value", F.least("a", "c"), F.greatest("a", "c")).alias("task"))
+    return against.unionByName(among)
 
 
 def links_of(sets: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
@@ -319,7 +334,7 @@ def links_of(sets: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
     if large.isEmpty():
         return links
     grouped = components(links).withColumnRenamed("label", "known")
-    rest = checkpointed(sized.join(large, "label", "left_semi").join(grouped, "node", "left").select("node", "n", "data", F.coalesce("known", "node").alias("known")))
+    rest = checkpointed(sized.join(large, "label", "left_semi").join(grouped, "node", "left").select("node", "n", "data", "label", F.coalesce("known", "node").alias("known")))
     more = _between_groups(rest).join(rest, "node").select("task", "side", "known", "node", "n", "data")
     return links.unionByName(more.groupBy("task").applyInArrow(_joined, schema))
 
