@@ -323,18 +323,20 @@ def _between_groups(sets: DataFrame) -> DataFrame:
 def links_of(sets: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
     """a, b: links that connect all similar sets (node, n, data) within the candidates' components (node, label)."""
     schema = "a long, b long"
-    sized = sets.join(candidates, "node").select("node", "n", "data", "label")
-    weight = sized.groupBy("label").agg(F.sum(F.octet_length("data")).alias("weight"))
-    large = weight.where(F.col("weight") > TASK_BYTES).select("label", F.ceil(2 * F.col("weight") / TASK_BYTES).cast("int").alias("parts"))
+    # sets are shuffled by node alone: what is known of a component goes to its nodes first
+    weight = sets.select("node", F.octet_length("data").alias("weight")).join(candidates, "node").groupBy("label").agg(F.sum("weight").alias("weight"))
+    large = checkpointed(weight.where(F.col("weight") > TASK_BYTES).select("label", F.ceil(2 * F.col("weight") / TASK_BYTES).cast("int").alias("parts")))
+    placed = candidates.join(large, "label", "left")
     task = F.when(F.col("parts").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("label", "seed", F.pmod(F.xxhash64("node", "seed"), F.col("parts"))))
     seeds = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))
     none = F.lit(None).cast("long").alias("known")
-    dealt = sized.join(large, "label", "left").withColumn("seed", F.explode(seeds)).select(task.alias("task"), F.lit(0).alias("side"), none, "node", "n", "data")
+    dealt = sets.join(placed, "node").withColumn("seed", F.explode(seeds)).select(task.alias("task"), F.lit(0).alias("side"), none, "node", "n", "data")
     links = checkpointed(dealt.withColumn("group", F.pmod("task", F.lit(groups))).groupBy("group").applyInArrow(_joined, schema))
     if large.isEmpty():
         return links
     grouped = components(links).withColumnRenamed("label", "known")
-    rest = checkpointed(sized.join(large, "label", "left_semi").join(grouped, "node", "left").select("node", "n", "data", "label", F.coalesce("known", "node").alias("known")))
+    whose = placed.where(F.col("parts").isNotNull()).join(grouped, "node", "left").select("node", "label", F.coalesce("known", "node").alias("known"))
+    rest = checkpointed(sets.join(whose, "node").select("node", "n", "data", "label", "known"))
     more = _between_groups(rest).join(rest, "node").select("task", "side", "known", "node", "n", "data")
     return links.unionByName(more.groupBy("task").applyInArrow(_joined, schema))
 
