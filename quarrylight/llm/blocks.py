@@ -15,7 +15,7 @@ from __future__ import annotations
 import ctypes
 import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +171,14 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is released after each, since idle workers keep what they have."""
+    for batch in batches:
+        yield batch
+        del batch
+        released()
+
+
 def tidy(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """A cogroup function that releases memory after each block."""
 
@@ -182,6 +190,17 @@ def tidy(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tupl
     return tidied
 
 
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group that releases memory after each group."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        out = run(table)
+        released()
+        return out
+
+    return tidied
+
+
 def id_ranges(docs: DataFrame, blocks: int) -> Callable[[Column], Column]:
     """A function from doc_ids to blocks that rise with them.
 
@@ -210,7 +229,7 @@ ANSWER = "block int, bucket int, figures binary"
 
 
 def answers(asked: DataFrame, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+    return asked.groupBy("bucket").applyInArrow(tidy_group(run), ANSWER)
 
 
 def figures(table: pa.Table, kind: str) -> np.ndarray:

@@ -146,7 +146,7 @@ def _chains(table: pa.Table) -> pa.Table:
 
 
 def _links_of_blocks(batches):
-    for batch in batches:
+    for batch in B.frugal(batches):
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i8") for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -274,7 +274,7 @@ def _joined(table: pa.Table) -> pa.Table:
 
 def _prefix_entries(batches):
     """node, value of each prefix shingle of the sets."""
-    for batch in batches:
+    for batch in B.frugal(batches):
         nodes, sets = batch.column(0).to_pylist(), [np.frombuffer(d, "<u8") for d in batch.column(2).to_pylist()]
         heads = [s[: prefix_length(s, n)] for s, n in zip(sets, batch.column(1).to_pylist())]
         value = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
@@ -331,14 +331,14 @@ def links_of(sets: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
     seeds = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))
     none = F.lit(None).cast("long").alias("known")
     dealt = sets.join(placed, "node").withColumn("seed", F.explode(seeds)).select(task.alias("task"), F.lit(0).alias("side"), none, "node", "n", "data")
-    links = checkpointed(dealt.withColumn("group", F.pmod("task", F.lit(groups))).groupBy("group").applyInArrow(_joined, schema))
+    links = checkpointed(dealt.withColumn("group", F.pmod("task", F.lit(groups))).groupBy("group").applyInArrow(B.tidy_group(_joined), schema))
     if large.isEmpty():
         return links
     grouped = components(links).withColumnRenamed("label", "known")
     whose = placed.where(F.col("parts").isNotNull()).join(grouped, "node", "left").select("node", "label", F.coalesce("known", "node").alias("known"))
     rest = checkpointed(sets.join(whose, "node").select("node", "n", "data", "label", "known"))
     more = _between_groups(rest).join(rest, "node").select("task", "side", "known", "node", "n", "data")
-    return links.unionByName(more.groupBy("task").applyInArrow(_joined, schema))
+    return links.unionByName(more.groupBy("task").applyInArrow(B.tidy_group(_joined), schema))
 
 
 def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -356,7 +356,7 @@ def classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     answered = B.answers(asked, B.counter(_frequency, "u1")).select("block", F.lit(None).cast("long").alias("rep_key"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("rep_doc"), "bucket", "figures")
     made = checkpointed(side.cogroup(rep_rows.unionByName(answered).groupBy("block")).applyInArrow(B.tidy(_prefixes(bits)), _MADE))
 
-    chains = made.where("kind = 0").select("bucket", "data", "more", "sizes").groupBy("bucket").applyInArrow(_chains, "a long, b long")
+    chains = made.where("kind = 0").select("bucket", "data", "more", "sizes").groupBy("bucket").applyInArrow(B.tidy_group(_chains), "a long, b long")
     within = made.where("kind = 3").select("data", "more").mapInArrow(_links_of_blocks, "a long, b long")
     links = links_of(made.where("kind = 1").select("node", "n", "data"), components(chains.unionByName(within)), n_blocks)
     labels = components(links)
@@ -380,7 +380,7 @@ def representatives(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
 
 
 def _sizes(batches):
-    for batch in batches:
+    for batch in B.frugal(batches):
         key = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
         n = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n_shingles"])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.blocks import frugal
 from quarrylight.llm.word_bpe import encoder
 
 SEQUENCE = 4096
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in frugal(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 row, start, length, check, tokens = [], [], [], [], []

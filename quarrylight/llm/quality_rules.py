@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm._kernel import SEPARATOR, mix, pieces, runs, span_hash, sums_by_row, text_column, windows, words
+from quarrylight.llm.blocks import frugal
 
 #: Labelled rows that a list is learned from at most (the ones of smallest id hash), and how it is learned.
 LABELLED_ROWS = 50_000
@@ -93,7 +94,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             data, offsets = text_column(batch.column(at))
             found = [measure(d, o) for _, _, d, o in pieces(data, offsets)]
             counts = [pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in COUNTS]

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.blocks import frugal
 from quarrylight.llm.word_bpe import Encoder, encoder
 
 LEAF = 256
@@ -131,7 +132,7 @@ _ROW = pa.struct([("parts", pa.list_(pa.string())), ("chars", pa.list_(pa.int64(
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in frugal(batches):
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield batch.slice(at, ROWS_AT_ONCE)
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm._kernel import pieces, ranges, runs, span_hash, words
+from quarrylight.llm.blocks import frugal
 
 #: Most words that the lexicon holds, and so its proven size bound: a few MB.
 LEXICON_WORDS = 65_536
@@ -318,7 +319,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
             chunks.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in frugal(batches):
             for text in batch.column(0).to_pylist():
                 for part in vocab.parts(text or ""):
                     if not isinstance(part, int):
@@ -347,7 +348,7 @@ def encode(docs: DataFrame, path: str, finish: Callable, schema: str, lexicon: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, name, block)
-        for batch in batches:
+        for batch in frugal(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield finish(coder, part.column(0), part.column(1).to_pylist())
